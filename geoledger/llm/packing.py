@@ -6,7 +6,8 @@ remainders' lengths are a histogram of ``window - 1`` bins however many document
 1. enumerate shallow combinations of two or three lengths that fill the window exactly;
 2. solve non-negative least squares for how often each is to repeat, so that together they meet the histogram;
 3. round the counts down to what is there;
-4. pack what remains greedily, longest first, cutting a remainder where nothing else fits the gap.
+4. pack what remains greedily, longest first, each time with the longest that fits; lengths that leave a gap so go end to
+   end, cut where windows end.
 
 The plan says which ranks of each length go to which sequence and offset. Ranks are counted by length and hash bucket, so
 a length that a third of all documents have is spread over many tasks. Only remainders are shuffled, never full windows.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -71,87 +71,77 @@ def nnls(combos: np.ndarray, histogram: np.ndarray, sweeps: int = SWEEPS, tolera
     return np.array(x)
 
 
-@dataclass(frozen=True)
-class Lot:
-    """The pieces [start, start + length) of the remainders of one length whose ranks are in [rank, rank + n)."""
-
-    remainder: int
-    rank: int
-    n: int
-    start: int
-
-
 class _Stock:
-    """Lots by piece length. What is taken from them is planned as rows."""
-
-    def __init__(self, histogram: np.ndarray):
-        self.lots: dict[int, list[Lot]] = {k: [Lot(k, 0, int(n), 0)] for k, n in enumerate(histogram) if n and k}
-        self.count = {k: lots[0].n for k, lots in self.lots.items()}
-        self.rows: list[tuple[int, int, int, int, int, int, int]] = []
-        self.sequences = 0
-
-    def take(self, length: int, n: int) -> list[Lot]:
-        out, lots = [], self.lots[length]
-        self.count[length] -= n
-        while n:
-            lot = lots.pop()
-            if lot.n > n:
-                lots.append(Lot(lot.remainder, lot.rank + n, lot.n - n, lot.start))
-                lot = Lot(lot.remainder, lot.rank, n, lot.start)
-            out.append(lot)
-            n -= lot.n
-        if not lots:
-            del self.lots[length], self.count[length]
-        return out
-
-    def put(self, length: int, lot: Lot) -> None:
-        self.lots.setdefault(length, []).append(lot)
-        self.count[length] = self.count.get(length, 0) + lot.n
-
-    def fill(self, slots: list[tuple[int, int]], n: int) -> None:
-        """n sequences, each of one piece for every slot (length of the piece there is, length used of it)."""
-        at = 0
-        for length, used in slots:
-            first = self.sequences
-            for lot in self.take(length, n):
-                self.rows.append((lot.remainder, lot.rank, lot.rank + lot.n, lot.start, used, first, at))
-                first += lot.n
-                if used < length:
-                    self.put(length - used, Lot(lot.remainder, lot.rank, lot.n, lot.start + used))
-            at += used
+    """What is left of each length, and the plan's rows (remainder, rank from, rank to, position of the first, stride)."""
+
+    def __init__(self, histogram: np.ndarray, window: int):
+        self.window, self.sequences = window, 0
+        self.taken = {k: 0 for k, n in enumerate(histogram) if n and k}
+        self.left = {k: int(histogram[k]) for k in self.taken}
+        self.rows: list[tuple[int, int, int, int, int]] = []
+
+    def _place(self, length: int, n: int, position: int, stride: int) -> None:
+        self.rows.append((length, self.taken[length], self.taken[length] + n, position, stride))
+        self.taken[length] += n
+        self.left[length] -= n
+        if not self.left[length]:
+            del self.left[length]
+
+    def fill(self, lengths: list[int], n: int) -> None:
+        """n sequences of these lengths, which add up to the window."""
+        at = self.sequences * self.window
+        for length in lengths:
+            self._place(length, n, at, self.window)
+            at += length
         self.sequences += n
 
+    def best_fit(self, length: int) -> tuple[list[int], int]:
+        """This length and, again and again, the longest that fits what it leaves of a window; and the gap at the end."""
+        left, gap, lengths = dict(self.left), self.window, []
+        while length:
+            lengths.append(length)
+            left[length] -= 1
+            gap -= length
+            length = max((k for k, n in left.items() if n and k <= gap), default=0)
+        return lengths, gap
 
-def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, int, int, int, int, int]], int]:
-    """Rows (remainder, rank from, rank to, start, length, first sequence, offset), and how many sequences they fill.
+    def run_on(self, length: int, position: int) -> int:
+        """All that is left of a length end to end from this position on; windows cut it. The position after it."""
+        n = self.left[length]
+        self._place(length, n, position, length)
+        return position + n * length
 
-    histogram[k]: remainders of length k, 0 < k < window. Every id of every remainder is in just one row, all sequences
-    but one at most are full, and the rows' number depends on the window, not on the counts.
+
+def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Rows (remainder, rank from, rank to, position, stride), and how many sequences they fill.
+
+    histogram[k]: remainders of length k, 0 < k < window. A remainder of rank r in a row lies at position
+    ``position + (r - rank from) * stride`` of all sequences end to end. Every rank is in just one row, all sequences but
+    one at most are full, and the rows' number is bounded by the window, not by the counts.
     """
-    stock = _Stock(histogram)
+    stock = _Stock(histogram, window)
     lengths = np.flatnonzero(histogram)
     lengths = lengths[lengths > 0]
     combos = combinations(lengths, histogram[lengths], window)
     wanted = nnls(combos, histogram) if len(combos) else np.zeros(0)
     for j in np.argsort(-wanted, kind="stable").tolist():
         parts = [k for k in combos[j].tolist() if k]
-        n = int(min(np.floor(wanted[j] + 0.5), *(stock.count.get(k, 0) // parts.count(k) for k in parts)))
+        n = int(min(np.floor(wanted[j] + 0.5), *(stock.left.get(k, 0) // parts.count(k) for k in parts)))
         if n > 0:
-            stock.fill([(k, k) for k in parts], n)
-    while stock.count:
-        left, slots, gap = dict(stock.count), [], window
-        while gap:
-            fitting = [k for k, n in left.items() if n and k <= gap]
-            longer = [k for k, n in left.items() if n and k > gap]
-            if not fitting and not longer:
+            stock.fill(parts, n)
+    cut = []
+    for length in sorted(stock.left, reverse=True):
+        while stock.left.get(length):
+            parts, gap = stock.best_fit(length)
+            if gap:
+                cut.append(length)
                 break
-            length = max(fitting) if fitting and not (longer and gap < window and max(fitting) < gap // 8) else min(longer)
-            slots.append((length, min(length, gap)))
-            left[length] -= 1
-            gap -= min(length, gap)
-        uses = [k for k, _ in slots]
-        stock.fill(slots, min(stock.count[k] // uses.count(k) for k in set(uses)))
-    return stock.rows, stock.sequences
+            stock.fill(parts, min(stock.left[k] // parts.count(k) for k in set(parts)))
+    end = stock.sequences * window
+    for length in cut:
+        if stock.left.get(length):
+            end = stock.run_on(length, end)
+    return stock.rows, -(-end // window)
 
 
 def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -193,16 +183,24 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     for row in light.groupBy("remainder").count().collect():  # below ``window`` rows
         histogram[row["remainder"]] = row["count"]
     planned, _ = plan(histogram, window)
-    schema = "remainder int, rank_from long, rank_to long, cut long, length long, first long, offset long"
+    schema = "remainder int, rank_from long, rank_to long, position long, stride long"
     lots = spark.createDataFrame(planned, schema)
 
     own = F.row_number().over(Window.partitionBy("remainder", "bucket").orderBy("uid")) - 1
     ranked = light.withColumn("own", own).join(before.drop("count"), ["remainder", "bucket"])
     ranked = ranked.select("uid", "remainder", (F.col("own") + F.col("before")).alias("rank"))
     placed = ranked.join(F.broadcast(lots), "remainder").where("rank >= rank_from and rank < rank_to")  # lots: the plan's rows, bounded by the window
-    placed = placed.select("uid", "cut", "length", (2 * (F.col("first") + F.col("rank") - F.col("rank_from"))).alias("sequence_id"), "offset")
-    pieces = rest.drop("remainder").join(placed, "uid").withColumns(
-        {"start": F.col("start") + F.col("cut"), "ids": F.expr("substring(ids, cast(4 * cut + 1 as int), cast(4 * length as int))")}
+    placed = placed.select("uid", (F.col("position") + (F.col("rank") - F.col("rank_from")) * F.col("stride")).alias("at"))
+    pieces = rest.join(placed, "uid").withColumn("room", window - F.col("at") % window)
+    cut = "array(struct(0L as cut, least(remainder, room) as length), struct(room as cut, remainder - room as length))"
+    pieces = pieces.select("*", F.explode(F.expr(f"filter({cut}, x -> x.length > 0)")).alias("part")).select("*", "part.*")
+    pieces = pieces.withColumns(
+        {
+            "start": F.col("start") + F.col("cut"),
+            "sequence_id": 2 * F.expr(f"(at + cut) div {window}"),
+            "offset": (F.col("at") + F.col("cut")) % window,
+            "ids": F.expr("substring(ids, cast(4 * cut + 1 as int), cast(4 * length as int))"),
+        }
     )
     return full.select(names).unionByName(pieces.select(names))
 
