@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
+from geoledger.llm.idfile import op10
 from geoledger.llm.packing import op1
 from geoledger.llm.simhash import op2
 
 QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
+    "op10_token_files": op10,
 }
 
 ORACLES: dict[str, str] = {}
