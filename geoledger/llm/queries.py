@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
+from geoledger.llm.bpe import op8
 from geoledger.llm.idfile import op10
 from geoledger.llm.packing import op1
 from geoledger.llm.simhash import op2
@@ -7,6 +8,7 @@ from geoledger.llm.simhash import op2
 QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
+    "op8_byte_bpe": op8,
     "op10_token_files": op10,
 }
 
