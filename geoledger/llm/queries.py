@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
 from geoledger.llm.bpe import op8
+from geoledger.llm.chat import OP7_SQL, op7
 from geoledger.llm.idfile import op10
 from geoledger.llm.packing import op1
 from geoledger.llm.simhash import op2
@@ -8,8 +9,11 @@ from geoledger.llm.simhash import op2
 QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
+    "op7_chat_formatting": op7,
     "op8_byte_bpe": op8,
     "op10_token_files": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_formatting": OP7_SQL,
+}
