@@ -4,16 +4,22 @@ from geoledger.llm.bpe import op8
 from geoledger.llm.chat import OP7_SQL, op7
 from geoledger.llm.idfile import op10
 from geoledger.llm.packing import op1
+from geoledger.llm.quality import op6
 from geoledger.llm.simhash import op2
+from geoledger.llm.toxicity import op5
 
 QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
+    "op5_toxicity": op5,
+    "op6_quality": op6,
     "op7_chat_formatting": op7,
     "op8_byte_bpe": op8,
     "op10_token_files": op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_toxicity": op5,
+    "op6_quality": op6,
     "op7_chat_formatting": OP7_SQL,
 }
