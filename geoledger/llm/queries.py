@@ -5,6 +5,7 @@ from geoledger.llm.chat import OP7_SQL, op7
 from geoledger.llm.idfile import op10
 from geoledger.llm.packing import op1
 from geoledger.llm.quality import op6
+from geoledger.llm.rules import op9
 from geoledger.llm.simhash import op2
 from geoledger.llm.toxicity import op5
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_quality": op6,
     "op7_chat_formatting": op7,
     "op8_byte_bpe": op8,
+    "op9_quality_rules": op9,
     "op10_token_files": op10,
 }
 
