@@ -3,6 +3,7 @@
 from geoledger.llm.bpe import op8
 from geoledger.llm.chat import OP7_SQL, op7
 from geoledger.llm.idfile import op10
+from geoledger.llm.langid import op3
 from geoledger.llm.packing import op1
 from geoledger.llm.quality import op6
 from geoledger.llm.rules import op9
@@ -12,6 +13,7 @@ from geoledger.llm.toxicity import op5
 QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
+    "op3_language_id": op3,
     "op5_toxicity": op5,
     "op6_quality": op6,
     "op7_chat_formatting": op7,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_language_id": op3,
     "op5_toxicity": op5,
     "op6_quality": op6,
     "op7_chat_formatting": OP7_SQL,
