@@ -145,7 +145,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, i
 
 
 def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """(doc_id, doc_tokens, start, ids): each document's ids, its end id last, cut at whole windows."""
+    """(doc_id, doc_tokens, start, length, ids): each document's ids, its end id last, cut at whole windows."""
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +153,13 @@ def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW) ->
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 ids = encode(text, path)
-                rows += [(doc_id, len(ids) // 4, at // 4, ids[at : at + 4 * window]) for at in range(0, len(ids), 4 * window)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "doc_tokens", "start", "ids"])
+                n = len(ids) // 4
+                rows += [(doc_id, n, at, min(window, n - at), ids[4 * at : 4 * (at + window)]) for at in range(0, n, window)]
+            kinds = (*[pa.int64()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "doc_tokens", "start", "length", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, doc_tokens long, start long, ids binary")
+    return narrow.mapInArrow(run, "doc_id long, doc_tokens long, start long, length long, ids binary")
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -169,12 +170,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     """
     spark = docs.sparkSession
     chunks = written(tokenized(docs, path, window).withColumn("uid", F.monotonically_increasing_id()), "chunks")
-    length = (F.octet_length("ids") / 4).cast("long")
     names = ["doc_id", "doc_tokens", "start", "length", "sequence_id", "offset", "ids"]
-    full = chunks.where(F.octet_length("ids") == 4 * window)
-    full = full.withColumns({"length": F.lit(window).cast("long"), "sequence_id": 2 * F.col("uid") + 1, "offset": F.lit(0).cast("long")})
+    full = chunks.where(F.col("length") == window)
+    full = full.withColumns({"sequence_id": 2 * F.col("uid") + 1, "offset": F.lit(0).cast("long")})
 
-    rest = chunks.where(F.octet_length("ids") < 4 * window).withColumn("remainder", length.cast("int"))
+    rest = chunks.where(F.col("length") < window).withColumn("remainder", F.col("length").cast("int")).drop("length")
     buckets = max(BUCKETS, -(-rest.count() // BUCKET_ROWS))
     light = rest.select("uid", "remainder").withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int"))
     sizes = light.groupBy("remainder", "bucket").count()

@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 
 import regex
 
-_LOOSE = re.compile(r" \s|^\s| \Z")
 _CUT = re.compile(r"(?= \S)")
 #: Characters worked on at once; cuts fall where parts do.
 BLOCK_CHARS = 1_000_000
+#: Neither letters, numbers nor white space; several after a word are one match of the pattern.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer pieces are encoded each time instead of being remembered.
 LONGEST_KEPT = 64
 
@@ -33,6 +34,10 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class _Loose(Exception):
+    """White space follows a space, or ends the text: the block has to be cut with care."""
+
+
 class Recent(dict):
     """A memo of a function: its newest ``limit`` to ``2 * limit`` arguments; a full one becomes the older half."""
 
@@ -56,7 +61,7 @@ class Recent(dict):
 class PieceEncoder:
     """Encodes whole texts by ``encode``, which turns one match of the pattern into bytes of its ids."""
 
-    def __init__(self, pattern: str, encode: Callable[[str], bytes], words: int = 350_000, pieces: int = 50_000):
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], words: int = 500_000, pieces: int = 50_000):
         self._find, self._encode = regex.compile(pattern).findall, encode
         self._pieces = Recent(encode, pieces)
         self._after_space = Recent(self._word, words)
@@ -65,20 +70,27 @@ class PieceEncoder:
         return b"".join(map(self._pieces.__getitem__, self._find(part)))
 
     def _word(self, word: str) -> bytes:
-        """A space and a word without white space. Letters, and letters before one mark, need no pattern."""
+        """A space and a word. Letters, marks after letters, and a line's end between words need no pattern."""
         if word.isalpha():
             return self._encode(" " + word)
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return self._after_space[word[:-1]] + self._pieces[word[-1]]
+        if not word or word[0].isspace():
+            raise _Loose
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            return self._after_space[core] + self._pieces[word[len(core) :]]
+        line, end, after = word.partition("\n")
+        if end and after.isalpha() and not line[-1].isspace():
+            return self._after_space[line] + self._pieces["\n"] + self._pieces[after]
         return self._matched(" " + word)
 
     def encode(self, text: str) -> bytes:
         out = []
         for block in blocks(text):
-            if _LOOSE.search(block):
+            first, *rest = block.split(" ")
+            try:
+                if block[:1].isspace():
+                    raise _Loose
+                out.append(b"".join([self._matched(first), *map(self._after_space.__getitem__, rest)]))
+            except _Loose:
                 out.extend(map(self._matched, _CUT.split(block)))
-            else:
-                first, *rest = block.split(" ")
-                out.append(self._matched(first))
-                out.extend(map(self._after_space.__getitem__, rest))
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
