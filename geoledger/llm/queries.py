@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
+from geoledger.llm.ann import op4
 from geoledger.llm.bpe import op8
 from geoledger.llm.chat import OP7_SQL, op7
 from geoledger.llm.idfile import op10
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
     "op3_language_id": op3,
+    "op4_nearest_neighbours": op4,
     "op5_toxicity": op5,
     "op6_quality": op6,
     "op7_chat_formatting": op7,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_language_id": op3,
+    "op4_nearest_neighbours": op4,
     "op5_toxicity": op5,
     "op6_quality": op6,
     "op7_chat_formatting": OP7_SQL,
