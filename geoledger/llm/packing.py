@@ -205,7 +205,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     return full.select(names).unionByName(pieces.select(names))
 
 
+def pieces(docs: DataFrame) -> DataFrame:
+    """Where each piece of every document went, with the unsigned checksum of its ids."""
+    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
-    """Where each piece of every document went, with the checksum of its ids."""
-    pieces = pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """All documents, packed."""
+    return pieces(table(spark, sf_dir, "documents"))

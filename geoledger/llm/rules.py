@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Trees | None:
 
     None if both labels aren't there: then nothing but the base rules rejects a document.
     """
-    rows, _ = sample(docs, labels_of(labels, "quality"), most, only_labelled=True)
+    rows, _ = sample(docs, labels_of(labels, "quality"), most)
     got = features(rows.dropDuplicates(["text", "label"])).toPandas()
     if got["label"].nunique() < 2:
         return None
@@ -121,6 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Trees | None:
 
 
 _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+#: The columns that judge() adds.
+ADDED = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
 def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
@@ -128,7 +130,7 @@ def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
 
     Columns of docs with one of these names are replaced. One row for each input row.
     """
-    new = [c.split()[0] for c in _COLUMNS.split(", ")]
+    new = ADDED
     keep = [f for f in docs.schema if f.name not in new]
     names = [f.name for f in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)

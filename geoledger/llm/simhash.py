@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import checkpointed, text_slices
+from geoledger.llm.common import checkpointed, table, text_slices, written
 from geoledger.llm.components import components
 
 SEED = 42
@@ -49,16 +49,17 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long. One row for each input row; null text is empty."""
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keys`` of docs and fp, the fingerprint's 64 bits as a signed long. Null text is empty."""
+    narrow = docs.select(*keys, F.col(text_col).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             bits = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits)], [*keys, "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(run, f"{schema}, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -95,26 +96,46 @@ def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the least doc_id that links of two bits or fewer reach.
+def _classes(marked: DataFrame) -> DataFrame:
+    """(fp, root, least) for each fingerprint of (uid, doc_id, fp): least is a struct of its class's first row by id, then uid.
 
-    Null and wordless texts have fingerprint zero and link like any other. Rows with a null id take part; a class in
-    which no row has an id has a null component_id. Repeated rows each come back. An empty table gives an empty result.
     Copies meet in one fingerprint first (a partial aggregate), so a group of copies of any size is one node.
     """
-    marked = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = checkpointed(nodes)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min(row).alias("first")))
     roots = components(links(nodes.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
+    named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "root", "least")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: the least doc_id that links of two bits or fewer reach.
+
+    docs: doc_id, text. Null and wordless texts have fingerprint zero and link like any other. Rows with a null id take
+    part; a class in which no row has an id has a null component_id. Repeated rows each come back. An empty table gives an
+    empty result.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = checkpointed(fingerprints(narrow, ["doc_id"]).withColumn("uid", F.monotonically_increasing_id()))
+    classes = _classes(marked).select("fp", F.col("least.doc_id").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, of which one stays from each near-duplicate class.
+
+    It is the one with the least doc_id; a row without an id stays only if its class has none with one. Of repeated rows
+    one stays. docs must have doc_id and text.
+    """
+    uid = next(n for n in (f"_row{k}" for k in range(10**6)) if n not in docs.columns)
+    stored = written(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
+    narrow = stored.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = checkpointed(fingerprints(narrow, ["uid", "doc_id"]))
+    stay = _classes(marked).select(F.col("least.uid").alias(uid)).distinct()
+    return stored.join(stay, uid, "left_semi").drop(uid)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint in hex and the least doc_id of its near-duplicate class."""
-    from geoledger.llm.common import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
