@@ -46,7 +46,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     The class prior is the share of quality 1 among the labelled rows. At most about 2 * ``most`` rows are taken, of each
     only its statistics. Without a positive or without any other row nothing is known against a text, and all score 1.
     """
-    rows, prior = sample(docs, labels_of(labels, "quality"), most)
+    rows, prior = sample(docs, labels_of(labels, "quality"), most, most)
     got = features(rows.dropDuplicates(["text", "label"])).toPandas()
     positive = (got["label"] == 1).to_numpy()
     if not positive.any() or positive.all():

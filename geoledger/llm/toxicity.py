@@ -21,8 +21,8 @@ from geoledger.llm.common import table, text_slices
 from geoledger.llm.labelled import held_out, labels_of, sample, scored
 from geoledger.llm.pu import fit_linear, sigmoid
 
-#: Confirmed rows, and as many unlabelled ones, that a fit takes at most (about).
-MOST = 4_000
+#: Confirmed rows, and unlabelled ones, that a fit takes at most (about).
+MOST, MOST_UNLABELLED = 2_000, 4_000
 #: Features kept; they must be in so many confirmed texts, and in this share of them.
 WIDTH, LEAST, LEAST_SHARE = 2_048, 3, 0.004
 THRESHOLD = 0.5
@@ -40,12 +40,12 @@ def pieces(token: str) -> set[str]:
 
 
 def hashed(token: str) -> list[int]:
-    return [xxhash.xxh64_intdigest(p) >> 1 for p in pieces(token)]
+    return [xxhash.xxh32_intdigest(p) - 2**31 for p in pieces(token)]
 
 
 def several(hash_: int) -> int:
     """The feature that two or more different tokens have this one."""
-    return hash_ ^ 0x2545F4914F6CDD1D
+    return hash_ ^ 0x4F6CDD1D
 
 
 def text_features(text: str) -> set[int]:
@@ -87,28 +87,27 @@ def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             found = [sorted(text_features(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
-    return rows.select("text", "label").mapInArrow(run, "label int, features array<bigint>")
+    return rows.select("text", "label").mapInArrow(run, "label int, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Learn from rows that are not held out: label 1 as positives, all others as unlabelled text.
 
-    The class prior is the share of label 1 among the labelled rows. At most about 2 * ``most`` rows are taken, of each
-    only its features; frequency among them selects the features. Copies of one text count once. Without a positive or
+    The class prior is the share of label 1 among the labelled rows. At most about ``most`` positives and MOST_UNLABELLED others are taken, of
+    each only its features; frequency among them selects the features. Copies of one text count once. Without a positive or
     without any other row nothing is toxic, and all scores are 0.
     """
-    rows, prior = sample(docs, labels_of(labels, "toxic"), most)
-    got = _features(rows.dropDuplicates(["text", "label"])).toPandas()
-    positive = (got["label"] == 1).to_numpy()
+    rows, prior = sample(docs, labels_of(labels, "toxic"), most, MOST_UNLABELLED)
+    got = _features(rows.dropDuplicates(["text", "label"])).toArrow().combine_chunks()
+    positive = np.array(got.column("label").to_pylist(), object) == 1
     if not positive.any() or positive.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0), -60.0)
+        return Model(np.zeros(0, np.int32), np.zeros(0), -60.0)
+    lists = got.column("features").combine_chunks()
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-    sizes = got["features"].map(len).to_numpy()
-    flat = np.concatenate([np.asarray(f, np.int64) for f in got["features"]])
-    of = np.repeat(np.arange(len(got)), sizes)
-    names, columns = np.unique(flat, return_inverse=True)
+    of = np.repeat(np.arange(len(positive), dtype=np.int32), lists.value_lengths().to_numpy())
+    names, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     n_p, n_u = positive.sum(), (~positive).sum()
     in_p, in_u = (np.bincount(columns, mask[of], len(names)) for mask in (positive, ~positive))
     mean = (in_p + in_u + 1) / (n_p + n_u + 2)
