@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from geoledger.sources.geotiff import Raster, read
 
@@ -135,4 +136,4 @@ def _series(raster: pd.Series, interval: pd.Series, base: pd.Series) -> pd.Serie
     return pd.Series([contours_wkb(r, i, b) for r, i, b in zip(raster, interval, base)], dtype=object)
 
 
-generate_contours = pandas_udf(_series, "binary", PandasUDFType.SCALAR)
+generate_contours = pandas_udf(_series, BinaryType())
