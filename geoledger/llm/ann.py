@@ -19,12 +19,12 @@ from geoledger.llm.common import checkpointed, table
 
 #: Vectors that clusters are learnt from, at most (about), and vectors for each cluster; clusters, at most.
 SAMPLE, PER_CLUSTER, MOST_CLUSTERS = 20_000, 48, 2_048
-#: Neighbours in the centroids' graph, and the beam that searches it.
-GRAPH_DEGREE, BEAM = 24, 96
+#: Neighbours in the centroids' graph, and the least beam that searches it.
+GRAPH_DEGREE, BEAM = 24, 64
 #: A vector is copied to lists up to so many times its nearest centroid's distance away, and to so many at most.
 CLOSURE_RATIO, MOST_COPIES = 1.15, 4
 #: A query reads lists up to so many times its nearest centroid's distance away, at least and at most so many.
-PRUNE_RATIO, LEAST_PROBES, MOST_PROBES = 1.35, 16, 64
+PRUNE_RATIO, LEAST_PROBES, MOST_PROBES = 1.35, 16, 160
 #: Rows of one sublist, and queries of one block.
 SUBLIST_ROWS, BLOCK_QUERIES = 4_096, 1_024
 
@@ -91,7 +91,7 @@ class Centroids:
         return found, distance
 
     def lists(self, x: np.ndarray, ratio: float, least: int, most: int) -> list[np.ndarray]:
-        found, distance = self.search(x)
+        found, distance = self.search(x, max(BEAM, most * 5 // 4))
         close = distance <= ratio * np.maximum(distance[:, :1], 1e-9)
         close[:, :least] = True
         close[:, most:] = False
@@ -151,7 +151,7 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5) -> DataFrame:
 
         return run
 
-    vectors, placed = entries.select("uid", "v"), "uid long, list int"
+    vectors, placed = entries.select("uid", "v", F.col("ids")[0].alias("least")), "uid long, list int"
     postings = checkpointed(vectors.mapInPandas(assign(CLOSURE_RATIO, 1, MOST_COPIES), placed))
     searched = vectors.join(asked.select("uid").distinct(), "uid")
     probes = checkpointed(searched.mapInPandas(assign(PRUNE_RATIO, LEAST_PROBES, MOST_PROBES), placed))
@@ -163,20 +163,25 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     stored = postings.join(deal, "list").select("list", slot("subs").alias("sub"), every("blocks").alias("block"), "uid").join(vectors, "uid")
     asking = probes.join(deal, "list").select("list", every("subs").alias("sub"), slot("blocks").alias("block"), "uid").join(vectors, "uid")
     asking = asking.select("list", "sub", "block", F.col("uid").alias("quid"), F.col("v").alias("q"))
+    stored = stored.select("list", "sub", "block", "uid", "v", "least")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The k + 1 nearest of each query in one sublist (itself may be there); what differs by rounding only is a tie."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"quid": [], "uid": [], "near": []}).astype({"quid": "int64", "uid": "int64", "near": "float64"})
+            return pd.DataFrame({"quid": [], "uid": [], "near": [], "least": []}).astype({"quid": "int64", "uid": "int64", "near": "float64", "least": "int64"})
+        right = right.sort_values("least")
         q, x = np.stack(left["q"].to_numpy()), np.stack(right["v"].to_numpy())
         alike = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+        alike = np.round(alike, 12)
         most = min(k + 1, len(x))
-        best = np.argpartition(-alike, most - 1, axis=1)[:, :most]
-        return pd.DataFrame({"quid": np.repeat(left["quid"].to_numpy(), most), "uid": right["uid"].to_numpy()[best].ravel(), "near": np.take_along_axis(alike, best, 1).ravel()})
+        best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
+        got = right[["uid", "least"]].to_numpy()[best.ravel()]
+        return pd.DataFrame({"quid": np.repeat(left["quid"].to_numpy(), most), "uid": got[:, 0], "near": np.take_along_axis(alike, best, 1).ravel(), "least": got[:, 1]})
 
     keys = ["list", "sub", "block"]
-    met = asking.groupBy(keys).cogroup(stored.groupBy(keys)).applyInPandas(compare, "quid long, uid long, near double")
-    met = met.groupBy("quid", "uid").agg(F.max("near").alias("near"))
-    met = met.withColumn("at", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("near"), "uid"))).where(F.col("at") <= 2 * (k + 1))
+    met = asking.groupBy(keys).cogroup(stored.groupBy(keys)).applyInPandas(compare, "quid long, uid long, near double, least long")
+    met = met.groupBy("quid", "uid").agg(F.max("near").alias("near"), F.first("least").alias("least"))
+    met = met.withColumn("at", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("near"), "least"))).where(F.col("at") <= k + 2)
     pairs = met.select("quid", "uid").unionByName(asked.select(F.col("uid").alias("quid"), "uid")).distinct()
     exact = pairs.join(vectors.select(F.col("uid").alias("quid"), F.col("v").alias("q")), "quid").join(entries, "uid")
     exact = exact.select("quid", "ids", F.expr(f"{_dot('q', 'v')} / (sqrt({_dot('q', 'q')}) * sqrt({_dot('v', 'v')}))").alias("score"))
