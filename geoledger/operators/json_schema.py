@@ -126,17 +126,21 @@ def fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, str, bool,
     return out
 
 
+def _lacks(name: str):
+    """For array elements: whether one lacks this field."""
+    return lambda e: e.isNotNull() & e[name].isNull()
+
+
 def _missing(value: Column, kind: T.DataType, name: str, nullable: bool) -> list[tuple[str, Column]]:
+    """(path, condition) of every required field at or below a value, elements of arrays of structs included."""
     out = [] if nullable else [(name, value.isNull())]
     if isinstance(kind, T.StructType):
         for f in kind:
             out += [(n, value.isNotNull() & c) for n, c in _missing(value[f.name], f.dataType, f"{name}.{f.name}", f.nullable)]
-    elif isinstance(kind, T.ArrayType):
-        inner = _missing(F.lit(None), T.NullType(), "", True) if not isinstance(kind.elementType, T.StructType) else kind.elementType
-        if isinstance(inner, T.StructType):
-            for f in inner:
-                if not f.nullable:
-                    out.append((f"{name}[].{f.name}", F.coalesce(F.exists(value, lambda e, f=f: e.isNotNull() & e[f.name].isNull()), F.lit(False))))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        for f in kind.elementType:
+            if not f.nullable:
+                out.append((f"{name}[].{f.name}", F.coalesce(F.exists(value, _lacks(f.name)), F.lit(False))))
     return out
 
 

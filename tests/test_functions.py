@@ -1,0 +1,174 @@
+"""Geometry headers, curves, rasters and contours."""
+
+import math
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from geoledger.functions import contours, curves, wkb
+from geoledger.functions.register import register_all
+from geoledger.sources import geotiff
+
+HEADERS = {
+    "01E9030000": "Point Z", "00000003E9": "Point Z", "01D1070000": "Point M", "01B90B0000": "Point ZM", "0101000080": "Point Z", "0101000040": "Point M",
+    "01010000C0": "Point ZM", "0101000020E6100000": "Point", "0101040000": "Unknown(25) Z", "0101040020E6100000": "BrepSolid", "01E9030020": "Unknown(1001)",
+    "01A10F0000": "Unknown(4001)", "014E040000": "AffinePlacement Z", "0201000000": "Point", "01010000": "Invalid (too short)", "": "Invalid (too short)",
+}
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([(h, bytearray.fromhex(h)) for h in HEADERS], "h string, w binary")
+    for r in df.select("h", wkb.inspect(df, "w").alias("b"), wkb.inspect(df, "h").alias("t")).collect():
+        assert r["b"] == r["t"] == HEADERS[r["h"]], r["h"]
+
+
+@pytest.mark.parametrize(("text", "want"), [("zz", "Invalid (not hex)"), ("ABC", "Invalid (not hex)"), ("0 1", "Invalid (not hex)"), ("01 0100 0000", "Point"), (" 0101000000\n", "Point"), ("  ", "Invalid (too short)"), ("01 01000000", "Invalid (not hex)"), (None, "Invalid (null input)")])
+def test_hex_text(spark, text, want):
+    df = spark.createDataFrame([(text,)], "h string")
+    assert df.select(wkb.inspect(df, "h")).first()[0] == want
+
+
+def test_other_kinds_are_named(spark):
+    df = spark.sql("select 1 as i, 1.5D as f, true as b, 1.5 as d, date'2020-01-01' as dt, array(1) as l, map(1, 2) as m, struct(1) as s, cast(null as int) as n")
+    got = df.select(*(wkb.inspect(df, c).alias(c) for c in df.columns)).first().asDict()
+    named = {"i": "int", "f": "float", "b": "bool", "d": "Decimal", "dt": "date", "l": "list", "m": "dict", "s": "Row"}
+    assert got == {k: f"Invalid (unsupported type: {v})" for k, v in named.items()} | {"n": "Invalid (null input)"}
+
+
+def test_random_headers_against_a_decoder(spark):
+    rng = np.random.default_rng(0)
+    codes = [*rng.integers(0, 4_200, 400), *(int(b) | int(f) << 29 for b, f in zip(rng.integers(0, 1_100, 400), rng.integers(0, 8, 400)))]
+    rows = [(struct.pack("<BI" if k % 2 else ">BI", 1 if k % 2 else 0, int(c)), int(c)) for k, c in enumerate(codes)]
+
+    def decode(code):
+        flags, dims = code >> 29, {0: "", 4: " Z", 2: " M", 6: " ZM"}
+        if flags:
+            base, end = code & 0x1FFFFFFF, dims[flags & 6]
+        else:
+            thousand = code // 1000 if 1000 <= code < 4000 else 0
+            base, end = code - 1000 * thousand, ["", " Z", " M", " ZM"][thousand]
+        return wkb.TYPE_NAMES.get(base, f"Unknown({base})") + end
+
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "w binary, c long")
+    assert all(r["t"] == decode(r["c"]) for r in df.select("c", wkb.geometry_type("w").alias("t")).collect())
+
+
+def test_native_plan(spark):
+    df = spark.createDataFrame([(bytearray(5),)], "w binary")
+    plan = df.select(wkb.geometry_type("w"), wkb.strip_srid("w"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+@pytest.mark.parametrize(("before", "after"), [
+    ("0101000020E6100000" + "00" * 16, "0101000000" + "00" * 16), ("00A0000001000010E6" + "00" * 24, "0080000001" + "00" * 24), ("0101000000" + "11" * 16, "0101000000" + "11" * 16),
+    ("0220000001000010E6FF", "0200000001FF"), ("010100002000", "010100002000"),
+])
+def test_strip_srid(spark, before, after):
+    df = spark.createDataFrame([(bytearray.fromhex(before),)], "w binary")
+    assert df.select(F.hex(wkb.strip_srid("w"))).first()[0] == after
+
+
+def line(kind, points, width=2, dims=0):
+    return struct.pack("<BII", 1, kind + dims, len(points)) + b"".join(struct.pack(f"<{width}d", *p) for p in points)
+
+
+def group(kind, members):
+    return struct.pack("<BII", 1, kind, len(members)) + b"".join(members)
+
+
+ARC = line(8, [(0, 0), (1, 1), (2, 0)])
+CURVED = {
+    "circularstring": (ARC, 2), "compoundcurve": (group(9, [ARC, line(2, [(2, 0), (3, 5)])]), 2), "curvepolygon": (group(10, [line(8, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])]), 3),
+    "multicurve": (group(11, [line(2, [(0, 0), (1, 1)]), ARC]), 5), "multisurface": (group(12, [group(10, [line(8, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])])]), 6),
+    "point": (struct.pack("<BI2d", 1, 1, 3, 4), 1), "point z": (struct.pack("<BI3d", 1, 1001, 3, 4, 5), 1001), "empty polygon": (struct.pack("<BII", 1, 3, 0), 3),
+}
+
+
+@pytest.mark.parametrize("name", CURVED)
+def test_curves_become_linear(name):
+    data, kind = CURVED[name]
+    out = curves.linearize(data, 5.0)
+    assert struct.unpack_from("<BI", out) == (1, kind)
+    assert curves.linearize(out) == out
+
+
+def test_arc_vertices():
+    out = curves.linearize(ARC, 45.0)
+    points = np.frombuffer(out[9:], "<f8").reshape(-1, 2)
+    want = [(1 - math.cos(math.radians(a)), math.sin(math.radians(a))) for a in range(0, 181, 45)]
+    assert np.allclose(points, want) and tuple(points[0]) == (0, 0) and tuple(points[-1]) == (2, 0)
+    full = np.frombuffer(curves.linearize(line(8, [(0, 0), (2, 0), (0, 0)]), 90.0)[9:], "<f8").reshape(-1, 2)
+    assert np.allclose(np.hypot(full[:, 0] - 1, full[:, 1]), 1) and len(full) == 5
+    straight = np.frombuffer(curves.linearize(line(8, [(0, 0), (1, 0), (2, 0)]))[9:], "<f8").reshape(-1, 2)
+    assert straight.tolist() == [[0, 0], [1, 0], [2, 0]]
+    assert struct.unpack_from("<I", curves.linearize(ARC, None), 5)[0] == struct.unpack_from("<I", curves.linearize(ARC, 0.0), 5)[0] == 46
+
+
+@pytest.mark.parametrize("bad", [None, "0101", b"", b"\x01", b"\x01\x02\x00\x00\x00\xff\xff\xff\x7f", struct.pack("<BI", 1, 18), line(8, [(0, 0), (1, 1)])])
+def test_unreadable_curves_are_null(bad):
+    assert curves.linearize(bad) is None
+
+
+def test_srid_is_dropped():
+    ewkb = struct.pack("<BII2d", 1, 1 | 0x20000000, 4326, 3, 4)
+    assert curves.linearize(ewkb) == struct.pack("<BI2d", 1, 1, 3, 4)
+
+
+def test_sql_names(spark):
+    register_all(spark)
+    register_all(spark)
+    assert {"get_wkb_geom_type", "get_wkb_geom_type_hex", "curved_to_linear_wkb", "wkb_strip_srid", "generate_contours_udf"} <= {f.name for f in spark.catalog.listFunctions()}
+    rows = [(n, bytearray(d)) for n, (d, _) in CURVED.items()]
+    spark.createDataFrame(rows, "name string, wkb binary").createOrReplaceTempView("shapes")
+    got = {r["name"]: (r["a"], r["b"], r["c"]) for r in spark.sql("select name, get_wkb_geom_type(wkb) a, get_wkb_geom_type(curved_to_linear_wkb(wkb, 5)) b, get_wkb_geom_type(curved_to_linear_wkb(wkb)) c from shapes").collect()}
+    assert got["curvepolygon"] == ("CurvePolygon", "Polygon", "Polygon") and got["multisurface"] == ("MultiSurface", "MultiPolygon", "MultiPolygon") and got["point z"][1] == "Point Z"
+    df = spark.createDataFrame([("0101",)], "h string")
+    assert curves.linearized(df, "h").first()["linear"] is None
+
+
+RAMP = np.tile(np.arange(0, 51, 5.0), (4, 1))
+
+
+@pytest.mark.parametrize("deflate", [False, True])
+def test_raster_round_trip(deflate):
+    r = geotiff.read(geotiff.write(RAMP, (100.0, 200.0, 2.0, 2.0), deflate))
+    assert (r.values == RAMP).all() and r.affine == (100.0, 2.0, 0.0, 200.0, 0.0, -2.0)
+
+
+def test_contours_of_a_ramp():
+    lines = contours.contour_lines(geotiff.read(geotiff.write(RAMP + 1, (0.0, 0.0, 1.0, 1.0))), 10)
+    xs = sorted({round(x, 6) for points in lines for x, _ in points})
+    assert len(lines) == 5 and np.allclose(xs, [0.5 + (10 * k - 1) / 5 for k in range(1, 6)])
+    assert all(len(points) == 4 for points in lines)
+
+
+def test_a_cone_has_rings():
+    y, x = np.mgrid[-10:11, -10:11]
+    lines = contours.contour_lines(geotiff.Raster(50 - 4 * np.hypot(x, y)), 10, 5)
+    rings = [p for p in lines if p[0] == p[-1]]
+    assert len(rings) >= 3
+
+
+@pytest.mark.parametrize("tile", [None, b"", b"garbage", geotiff.write(np.ones((5, 5))), geotiff.write(np.ones((1, 5)))])
+def test_tiles_without_contours_are_null(tile):
+    assert contours.contours_wkb(tile) is None
+
+
+def test_each_row_has_its_own_interval(spark):
+    tile = bytearray(geotiff.write(RAMP + 1))
+    df = spark.createDataFrame([(tile, 10.0), (tile, 25.0), (None, 10.0)], "t binary, i double")
+    got = [r[0] for r in df.select(contours.generate_contours("t", "i", F.lit(0.0))).collect()]
+    assert [None if g is None else struct.unpack_from("<BII", bytes(g)) for g in got] == [(1, 5, 5), (1, 5, 2), None]
+
+
+def test_relational_segments_equal_marching_squares(spark):
+    v = np.round(np.random.default_rng(1).normal(0, 12, (6, 7)), 2) + 0.003
+    df = spark.createDataFrame([(1, 7, 6, v.ravel().tolist())], "id int, width int, height int, values array<double>")
+    got = {tuple(sorted(((round(r["x1"], 9), round(r["y1"], 9)), (round(r["x2"], 9), round(r["y2"], 9))))) for r in contours.segments(df, "id", 10.0).collect()}
+    want = set()
+    for points in contours.contour_lines(geotiff.Raster(v), 10):
+        moved = [(round(x - 0.5, 9), round(y - 0.5, 9)) for x, y in points]
+        want |= {tuple(sorted(pair)) for pair in zip(moved, moved[1:])}
+    assert got == want and got
