@@ -54,6 +54,11 @@ _PYTHON_NAMES = {
 }
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _code(wkb: str, big: str) -> str:
     """SQL of the 32-bit type code: bytes 2 to 5, most significant first if ``big`` holds."""
     part = lambda k: f"hex(substring({wkb}, {k}, 1))"
@@ -62,21 +67,38 @@ def _code(wkb: str, big: str) -> str:
 
 
 def _named(base: str) -> str:
-    pairs = ", ".join(f"{k}L, '{v}'" for k, v in TYPE_NAMES.items())
-    return f"coalesce(try_element_at(map({pairs}), {base}), concat('Unknown(', {base}, ')'))"
+    dense = [TYPE_NAMES[k] for k in range(len(TYPE_NAMES)) if k in TYPE_NAMES]
+    rest = " ".join(f"when {base} = {k} then '{v}'" for k, v in TYPE_NAMES.items() if k >= len(dense))
+    listed = ", ".join(f"'{v}'" for v in dense)
+    return f"case when {base} < {len(dense)} then element_at(array({listed}), cast({base} + 1 as int)) {rest} else concat('Unknown(', {base}, ')') end"
+
+
+#: SQL of the base type and of the dimensions of a ``code``. Bits 1 and 2 of the dimensions are M and Z: the flags' own
+#: bits, or what the thousands of a plain code stand for.
+_FLAGGED, _THOUSANDS = f"(code & {FLAGS}L) != 0", "code between 1000 and 3999"
+_BASE = f"if({_FLAGGED}, code & {2**32 - 1 - FLAGS}L, if({_THOUSANDS}, code % 1000, code))"
+_DIMS = f"if({_FLAGGED}, shiftright(code, 30) & 3, if({_THOUSANDS}, element_at(array(2L, 1L, 3L), cast(code div 1000 as int)), 0L))"
+
+
+def _checked(wkb: str, named: str) -> str:
+    return f"case when {wkb} is null then '{NULL_INPUT}' when octet_length({wkb}) < 5 then '{TOO_SHORT}' else {named} end"
+
+
+def _type_name(base: str, dims: str) -> str:
+    return f"concat({_named(base)}, element_at(array('', ' M', ' Z', ' ZM'), cast({dims} + 1 as int)))"
+
+
+def _type_code(wkb: str) -> str:
+    return _code(wkb, f"substring({wkb}, 1, 1) = x'00'")
 
 
 def geometry_type_sql(wkb: str) -> str:
-    code = _code(wkb, f"hex(substring({wkb}, 1, 1)) = '00'")
-    flagged = f"concat({_named(f'({code} & {2**32 - 1 - FLAGS}L)')}, case ({code} & {Z_FLAG | M_FLAG}L) when {Z_FLAG | M_FLAG}L then ' ZM' when {Z_FLAG}L then ' Z' when {M_FLAG}L then ' M' else '' end)"
-    base = f"({code} - if({code} between 1000 and 3999, {code} div 1000 * 1000, 0))"
-    iso = f"concat({_named(base)}, case when {code} between 1000 and 1999 then ' Z' when {code} between 2000 and 2999 then ' M' when {code} between 3000 and 3999 then ' ZM' else '' end)"
-    return f"case when {wkb} is null then '{NULL_INPUT}' when octet_length({wkb}) < 5 then '{TOO_SHORT}' when ({code} & {FLAGS}L) != 0 then {flagged} else {iso} end"
+    return _checked(wkb, _bound(_type_code(wkb), "code", _bound(f"struct({_BASE} as base, {_DIMS} as dims)", "t", _type_name("t.base", "t.dims"))))
 
 
 def geometry_type_hex_sql(text: str) -> str:
     decoded = f"unhex(regexp_replace({text}, '\\\\s', ''))"
-    return f"case when {text} is null then '{NULL_INPUT}' when not rlike({text}, '{_HEX_TEXT}') then '{NOT_HEX}' else {geometry_type_sql(decoded)} end"
+    return f"case when {text} is null then '{NULL_INPUT}' when not rlike({text}, '{_HEX_TEXT}') then '{NOT_HEX}' else {_bound(decoded, 'w', geometry_type_sql('w'))} end"
 
 
 def strip_srid_sql(wkb: str) -> str:
@@ -93,6 +115,15 @@ def geometry_type(wkb: str) -> Column:
     return F.expr(geometry_type_sql(wkb))
 
 
+def with_geometry_type(df: DataFrame, column: str, out: str = "geom_type") -> DataFrame:
+    """df with the type's name of a binary column in ``out``: the same as geometry_type, in steps that are all generated code."""
+    wkb, code, base, dims = f"`{column}`", "_wkb_code", "_wkb_base", "_wkb_dims"
+    own = [f"`{c}`" for c in df.columns if c != out]
+    steps = df.selectExpr("*", f"{_type_code(wkb)} as {code}")
+    steps = steps.selectExpr("*", *(f"{sql.replace('code', code)} as {name}" for sql, name in ((_BASE, base), (_DIMS, dims))))
+    return steps.selectExpr(*own, f"{_checked(wkb, _type_name(base, dims))} as `{out}`")
+
+
 def geometry_type_hex(text: str) -> Column:
     """The same for hex text, in which white space may stand between bytes."""
     return F.expr(geometry_type_hex_sql(text))

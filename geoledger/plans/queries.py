@@ -50,7 +50,7 @@ _EXPECTED = f"""
 
 
 def wkb_geom_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headers(spark, sf_dir).select("p_partkey", wkb.geometry_type("wkb").alias("geom_type"))
+    return wkb.with_geometry_type(_headers(spark, sf_dir), "wkb").select("p_partkey", "geom_type")
 
 
 def wkb_geom_type_hex(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,7 @@ def test_random_headers_against_a_decoder(spark):
 
     df = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "w binary, c long")
     assert all(r["t"] == decode(r["c"]) for r in df.select("c", wkb.geometry_type("w").alias("t")).collect())
+    assert all(r["t"] == decode(r["c"]) for r in wkb.with_geometry_type(df, "w", "t").collect())
 
 
 def test_native_plan(spark):
