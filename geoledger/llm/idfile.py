@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoledger.llm.common import scratch, table, text_slices
@@ -38,8 +38,8 @@ DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 #: A block ends at so many documents or bytes of frames, whichever comes first.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-#: Texts' bytes for each task that writes.
-TASK_BYTES = 64 << 20
+#: Texts' bytes for each task that writes, while there are no more tasks than a shuffle bears; then tasks grow and spill.
+TASK_BYTES, MOST_TASKS = 64 << 20, 20_000
 #: Parts whose running sums may be broadcast (16 bytes each); with more, they are joined by a shuffle.
 BROADCAST_PARTS = 1_000_000
 BLOCK = "part int, block int, first_doc long, last_doc long, n_docs int, n_tokens long, within long, dictionary string, offsets binary, doc_ids binary, counts binary, frames binary"
@@ -139,13 +139,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None) -> str:
         if len(writer):
             yield rows(writer.block())
 
-    tasks = max(spark.sparkContext.defaultParallelism, -(-_text_bytes(narrow, total, share, draw) // TASK_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, -(-_text_bytes(narrow, total, draw) // TASK_BYTES)))
     ordered = narrow.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 
-def _text_bytes(narrow: DataFrame, total: int, share: float, draw) -> int:
+def _text_bytes(narrow: DataFrame, total: int, draw: Column) -> int:
     """About how many bytes the texts have, by the mean of the sample."""
     mean = narrow.where(draw).agg(F.avg(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0]
     return int((mean or 0) * total)
