@@ -25,6 +25,8 @@ from geoledger.llm.pu import fit_linear, sigmoid
 MOST, MOST_UNLABELLED = 2_000, 4_000
 #: Features kept; they must be in so many confirmed texts, and in this share of them.
 WIDTH, LEAST, LEAST_SHARE = 2_048, 3, 0.004
+#: Sampled texts that share half of so many minhashes are near copies.
+MINHASHES = 32
 THRESHOLD = 0.5
 _CACHE = 300_000
 _NOT_LETTERS = "0123456789_.,;:!?'\"()[]{}<>|#*$%&+-=/\\~^`@«»„“”‘’…–—¿¡"
@@ -92,11 +94,32 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "label int, features array<int>")
 
 
+def one_of_each(flat: np.ndarray, ends: np.ndarray, seed: int = 17) -> np.ndarray:
+    """Which sets to keep so that of near copies one stays: the first of those that share half of their minhashes.
+
+    Set k is flat[ends[k]:ends[k + 1]]. The sample is bounded, and each set meets the kept ones only.
+    """
+    n, rng = len(ends) - 1, np.random.default_rng(seed)
+    full = np.flatnonzero(np.diff(ends))
+    marks = np.zeros((n, MINHASHES), np.uint32)
+    for k, (a, b) in enumerate(zip(rng.integers(1, 2**32, MINHASHES, np.uint64) | np.uint64(1), rng.integers(0, 2**32, MINHASHES, np.uint64))):
+        if len(full):
+            mixed = (flat.view(np.uint32).astype(np.uint64) * a + b).astype(np.uint32)
+            marks[full, k] = np.minimum.reduceat(mixed, ends[full])
+    kept, count, keep = np.zeros((n, MINHASHES), np.uint32), 0, np.zeros(n, bool)
+    for k in range(n):
+        if not count or 2 * (kept[:count] == marks[k]).sum(axis=1).max() < MINHASHES:
+            kept[count], keep[k] = marks[k], True
+            count += 1
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Learn from rows that are not held out: label 1 as positives, all others as unlabelled text.
 
     The class prior is the share of label 1 among the labelled rows. At most about ``most`` positives and MOST_UNLABELLED others are taken, of
-    each only its features; frequency among them selects the features. Copies of one text count once. Without a positive or
+    each only its features; frequency among them selects the features. Of copies and near copies
+    in the sample one counts. Without a positive or
     without any other row nothing is toxic, and all scores are 0.
     """
     rows, prior = sample(docs, labels_of(labels, "toxic"), most, MOST_UNLABELLED)
@@ -105,9 +128,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     if not positive.any() or positive.all():
         return Model(np.zeros(0, np.int32), np.zeros(0), -60.0)
     lists = got.column("features").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    keep = np.ones(len(positive), bool)
+    for side in (positive, ~positive):
+        rows_of = np.flatnonzero(side)
+        own = np.concatenate([flat[ends[k] : ends[k + 1]] for k in rows_of])
+        keep[rows_of] = one_of_each(own, np.concatenate(([0], np.cumsum(np.diff(ends)[rows_of]))))
+    flat, positive, sizes = flat[np.repeat(keep, np.diff(ends))], positive[keep], np.diff(ends)[keep]
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-    of = np.repeat(np.arange(len(positive), dtype=np.int32), lists.value_lengths().to_numpy())
-    names, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    of = np.repeat(np.arange(len(positive), dtype=np.int32), sizes)
+    names, columns = np.unique(flat, return_inverse=True)
     n_p, n_u = positive.sum(), (~positive).sum()
     in_p, in_u = (np.bincount(columns, mask[of], len(names)) for mask in (positive, ~positive))
     mean = (in_p + in_u + 1) / (n_p + n_u + 2)
