@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -83,37 +84,47 @@ class Model:
         return sigmoid(out)
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """(label, features): the distinct hashed features of each sampled text."""
+@cache
+def _salts() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(17)
+    return rng.integers(1, 2**32, MINHASHES, np.uint64) | np.uint64(1), rng.integers(0, 2**32, MINHASHES, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
-            found = [sorted(text_features(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
-    return rows.select("text", "label").mapInArrow(run, "label int, features array<int>")
+def minhashes(text: str) -> np.ndarray:
+    """Minhashes of a text's pairs of neighbouring words; zeros without a word."""
+    words = text.lower().split()
+    pairs = {xxhash.xxh32_intdigest(f"{a} {b}") for a, b in zip(words, [*words[1:], ""][: max(1, len(words) - 1)])}
+    if not pairs:
+        return np.zeros(MINHASHES, np.uint32)
+    a, b = _salts()
+    return (np.fromiter(pairs, np.uint64, len(pairs))[:, None] * a + b).astype(np.uint32).min(axis=0)
 
 
-def one_of_each(flat: np.ndarray, ends: np.ndarray, seed: int = 17) -> np.ndarray:
-    """Which sets to keep so that of near copies one stays: the first of those that share half of their minhashes.
+def one_of_each(marks: np.ndarray) -> np.ndarray:
+    """Which rows of minhashes to keep so that of near copies one stays: the first of those that share half of them.
 
-    Set k is flat[ends[k]:ends[k + 1]]. The sample is bounded, and each set meets the kept ones only.
+    The sample is bounded, and each row meets the kept ones only.
     """
-    n, rng = len(ends) - 1, np.random.default_rng(seed)
-    full = np.flatnonzero(np.diff(ends))
-    marks = np.zeros((n, MINHASHES), np.uint32)
-    for k, (a, b) in enumerate(zip(rng.integers(1, 2**32, MINHASHES, np.uint64) | np.uint64(1), rng.integers(0, 2**32, MINHASHES, np.uint64))):
-        if len(full):
-            mixed = (flat.view(np.uint32).astype(np.uint64) * a + b).astype(np.uint32)
-            marks[full, k] = np.minimum.reduceat(mixed, ends[full])
-    kept, count, keep = np.zeros((n, MINHASHES), np.uint32), 0, np.zeros(n, bool)
-    for k in range(n):
-        if not count or 2 * (kept[:count] == marks[k]).sum(axis=1).max() < MINHASHES:
-            kept[count], keep[k] = marks[k], True
+    kept, count, keep = np.zeros_like(marks), 0, np.zeros(len(marks), bool)
+    for k, mark in enumerate(marks):
+        if not count or 2 * (kept[:count] == mark).sum(axis=1).max() < MINHASHES:
+            kept[count], keep[k] = mark, True
             count += 1
     return keep
 
 
+def _features(rows: DataFrame) -> DataFrame:
+    """(label, features, marks): the distinct hashed features and the minhashes of each sampled text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            found = [sorted(text_features(t)) for t in texts]
+            marks = [minhashes(t).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(marks, pa.binary())], ["label", "features", "marks"])
+
+    return rows.select("text", "label").mapInArrow(run, "label int, features array<int>, marks binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Learn from rows that are not held out: label 1 as positives, all others as unlabelled text.
 
@@ -129,11 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
         return Model(np.zeros(0, np.int32), np.zeros(0), -60.0)
     lists = got.column("features").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-    keep = np.ones(len(positive), bool)
+    marks = np.frombuffer(b"".join(got.column("marks").to_pylist()), np.uint32).reshape(-1, MINHASHES)
+    keep = np.zeros(len(positive), bool)
     for side in (positive, ~positive):
-        rows_of = np.flatnonzero(side)
-        own = np.concatenate([flat[ends[k] : ends[k + 1]] for k in rows_of])
-        keep[rows_of] = one_of_each(own, np.concatenate(([0], np.cumsum(np.diff(ends)[rows_of]))))
+        keep[side] = one_of_each(marks[side])
     flat, positive, sizes = flat[np.repeat(keep, np.diff(ends))], positive[keep], np.diff(ends)[keep]
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     of = np.repeat(np.arange(len(positive), dtype=np.int32), sizes)
