@@ -60,6 +60,15 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The name under which a Python worker gets the text, beside columns of any name.
+TEXT = "(text)"
+
+
+def with_text(docs: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
+    """The named columns of docs, and last the text as TEXT."""
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text_col}`").alias(TEXT))
+
+
 def split_bucket(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import split_bucket, text_slices
+from geoledger.llm.common import TEXT, split_bucket, text_slices, with_text
 
 #: crc32(doc_id) modulo 5 = 0 is held out; the other rows may be learnt from.
 PARTS, HELD_OUT = 5, 0
@@ -47,15 +47,17 @@ def sample(docs: DataFrame, known: DataFrame, most: int, unlabelled: int | None
     return rows.join(F.broadcast(ones), "doc_id").unionByName(drawn), prior  # about ``most`` ids and labels
 
 
-def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float) -> DataFrame:
-    """The columns of docs, then score and predicted. ``score`` takes a list of texts; null texts are empty."""
-    keep = [f for f in docs.schema if f.name not in ("score", "predicted")]
-    names = [f.name for f in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all, if None), then score and predicted.
+
+    ``score`` takes a list of texts; null texts are empty. What isn't kept doesn't come back from Python.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, TEXT):
             s = score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, f"{schema}, score double, predicted int")
+    return with_text(docs, names).mapInArrow(run, f"{schema}, score double, predicted int")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import split_bucket, table, text_slices
+from geoledger.llm.common import TEXT, split_bucket, table, text_slices, with_text
 
 DIMENSIONS = 1_024
 #: Documents that prototypes are learnt from, at most (about).
@@ -141,20 +141,19 @@ def centred(prototypes: np.ndarray) -> np.ndarray:
     return unit if len(unit) < 2 else _unit(unit - unit.mean(axis=0))
 
 
-def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score (0 to 1: the prediction's share when cosines are sharpened and shared out).
+def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[str] | None = None) -> DataFrame:
+    """docs (of which only the columns ``keep``) with lang_pred and score (0 to 1: the prediction's share when cosines are sharpened and shared out).
 
     docs must have text; its lang is not looked at. A null text or one without a letter is ``und`` with score 0, and so is
     every text if no language was learnt. One row for each input row.
     """
-    keep = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     against, dimensions = centred(prototypes).T.astype(np.float32), prototypes.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = Bundler(dimensions)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, TEXT):
             profiles, lettered = bundle(texts)
             if not languages:
                 lettered[:] = False
@@ -164,9 +163,9 @@ def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> D
                 best = cosines.argmax(axis=1)
                 score = 1 / np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True))).sum(axis=1)
             said = [languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(np.where(lettered, score, 0.0))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(np.where(lettered, score, 0.0))], [*names, "lang_pred", "score"])
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return with_text(docs, names).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -174,5 +173,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = split_bucket(F.col("doc_id"), 3) == 1
     languages, prototypes = fit(docs.where(~held))
-    out = identify(docs.select("doc_id", "text"), languages, prototypes)
+    out = identify(docs.select("doc_id", "text"), languages, prototypes, ["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

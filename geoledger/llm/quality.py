@@ -56,13 +56,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     return Model(fit_network(x[order], positive[order], float(np.clip(prior, 1e-3, 1 - 1e-3))))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted; a null text is empty. One row for each input row."""
-    return scored(docs, model, THRESHOLD)
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs (of which only the columns ``keep``) with score (0 to 1) and predicted; a null text is empty. One row for each."""
+    return scored(docs, model, THRESHOLD, keep)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

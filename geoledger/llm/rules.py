@@ -13,9 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from geoledger.llm.common import table, text_slices
+from geoledger.llm.common import TEXT, table, text_slices, with_text
 from geoledger.llm.docstats import FEATURES, stats
 from geoledger.llm.labelled import labels_of, sample
 from geoledger.llm.pu import sigmoid
@@ -125,29 +124,28 @@ _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 ADDED = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
-def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
-    """docs with the statistics, base_failed, the trees' probability of quality, and kept. A null text has no words.
+def judge(docs: DataFrame, model: Trees | None, keep: list[str] | None = None) -> DataFrame:
+    """docs (of which only the columns ``keep``) with the statistics, base_failed, the trees' probability of quality, and kept. A null text has no words.
 
     Columns of docs with one of these names are replaced. One row for each input row.
     """
     new = ADDED
-    keep = [f for f in docs.schema if f.name not in new]
-    names = [f.name for f in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, TEXT):
             found = [stats(t) for t in texts]
             p = np.ones(len(found)) if model is None else sigmoid(model(np.array([s.features for s in found])))
             failed = np.array([s.base_failed for s in found])
             counts = [pa.array([getattr(s, n) for s in found], pa.int64()) for n in new[:5]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(failed), pa.array(p), pa.array(~failed & (p >= THRESHOLD))], [*names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, pa.array(failed), pa.array(p), pa.array(~failed & (p >= THRESHOLD))], [*names, *new])
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, f"{schema}, {_COLUMNS}")
+    return with_text(docs, names).mapInArrow(run, f"{schema}, {_COLUMNS}")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """The statistics of every document, and whether rules and trees keep it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")

@@ -29,7 +29,7 @@ WIDTH, LEAST, LEAST_SHARE = 2_048, 3, 0.004
 #: Sampled texts that share half of so many minhashes are near copies.
 MINHASHES = 32
 THRESHOLD = 0.5
-_CACHE = 300_000
+_CACHE = 200_000
 _NOT_LETTERS = "0123456789_.,;:!?'\"()[]{}<>|#*$%&+-=/\\~^`@«»„“”‘’…–—¿¡"
 
 
@@ -97,7 +97,8 @@ def minhashes(text: str) -> np.ndarray:
     if not pairs:
         return np.zeros(MINHASHES, np.uint32)
     a, b = _salts()
-    return (np.fromiter(pairs, np.uint64, len(pairs))[:, None] * a + b).astype(np.uint32).min(axis=0)
+    flat = np.fromiter(pairs, np.uint64, len(pairs))
+    return np.array([(flat * x + y).astype(np.uint32).min() for x, y in zip(a, b)])
 
 
 def one_of_each(marks: np.ndarray) -> np.ndarray:
@@ -162,13 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     return Model(names[best], model.weights, model.bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted; a null text is empty. One row for each input row."""
-    return scored(docs, model, THRESHOLD)
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs (of which only the columns ``keep``) with score (0 to 1) and predicted; a null text is empty. One row for each."""
+    return scored(docs, model, THRESHOLD, keep)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
