@@ -25,6 +25,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,11 @@ from geoledger.llm.common import table, text_slices
 from geoledger.llm.pretoken import PieceEncoder
 
 #: Up to so many bytes are merged directly.
-LEAF_BYTES = 8
-#: Longer windows are merged with a heap.
-_SHORT = 48
+LEAF_BYTES = 10
+#: Longer windows are merged with a heap; up to so many bytes what a window encodes to is remembered.
+_SHORT, _KEPT = 48, 20
 _MEMO = 400_000
+_NO_RANK = 1 << 62
 
 
 def default_ranks() -> str:
@@ -50,25 +52,26 @@ class TreeBpe:
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF_BYTES):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self._leaf = leaf
-        self._leaves: dict[bytes, tuple[int, ...]] = {}
+        self._windows: dict[bytes, tuple[int, ...]] = {}
         self._stable: dict[tuple[int, int], bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a short string: merge the pair of least rank, leftmost first, while there is one."""
         rank = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            known = [r for r in pairs if r is not None]
-            if not known:
-                return [self.ranks[p] for p in parts]
-            i = pairs.index(min(known))
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        pairs = [rank(data[i : i + 2], _NO_RANK) for i in range(len(data) - 1)]
+        while pairs:
+            least = min(pairs)
+            if least == _NO_RANK:
+                break
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
             del pairs[i]
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i])
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], _NO_RANK)
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1])
+                pairs[i] = rank(parts[i] + parts[i + 1], _NO_RANK)
+        return [self.ranks[p] for p in parts]
 
     def merge_long(self, data: bytes) -> list[int]:
         """The same for a long string, with a heap of (rank, place); outdated entries are skipped."""
@@ -105,17 +108,24 @@ class TreeBpe:
         if known is None:
             if len(self._stable) >= _MEMO:
                 self._stable.clear()
-            known = self._stable[a, b] = self._direct(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self._stable[a, b] = self._direct(self.tokens[a] + self.tokens[b]) == (a, b)
         return known
 
-    def _direct(self, data: bytes) -> list[int]:
-        return self.merge(data) if len(data) <= _SHORT else self.merge_long(data)
+    def _direct(self, data: bytes) -> tuple[int, ...]:
+        if len(data) > _KEPT:
+            return tuple(self.merge(data) if len(data) <= _SHORT else self.merge_long(data))
+        known = self._windows.get(data)
+        if known is None:
+            if len(self._windows) >= _MEMO:
+                self._windows.clear()
+            known = self._windows[data] = tuple(self.merge(data))
+        return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two encodings' bytes together."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
-        reach = 2
+        reach = 1
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
             window = self._direct(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
@@ -123,22 +133,17 @@ class TreeBpe:
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def encode(self, data: bytes) -> list[int]:
+    def encode(self, data: bytes) -> tuple[int, ...]:
         """Encode halves and join them; the tree is as deep as the logarithm of the length."""
-        if len(data) > self._leaf:
-            half = len(data) // 2
-            return self.join(self.encode(data[:half]), self.encode(data[half:]))
-        known = self._leaves.get(data)
-        if known is None:
-            if len(self._leaves) >= _MEMO:
-                self._leaves.clear()
-            known = self._leaves[data] = tuple(self.merge(data))
-        return list(known)
+        if len(data) <= self._leaf:
+            return self._direct(data)
+        half = len(data) // 2
+        return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
     def piece(self, data: bytes) -> list[int]:
         """One match of the pattern: itself if it is a token, as the tiktoken library has it."""
         known = self.ranks.get(data)
-        return self.encode(data) if known is None else [known]
+        return list(self.encode(data)) if known is None else [known]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4_096:
@@ -152,6 +157,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
+@cache
+def token_table(path: str) -> pa.Array:
+    """The tokens' bytes by id; null where there is none, which would make a text null and so be seen."""
+    ranks = read_ranks(path)
+    held: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        held[i] = token
+    return pa.array(held, pa.binary())
+
+
 @cache
 def codec(path: str) -> tuple[Callable[[str], bytes], TreeBpe]:
     """A function from whole texts to ids as bytes, and the coder behind it; one for each worker process."""
@@ -180,16 +195,21 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded): decoded is the ids' bytes. Null ids decode to no bytes; an unknown id is an error."""
+    """(doc_id, ids, decoded): decoded is the ids' bytes, concatenated by Arrow over a whole batch.
+
+    Null ids decode to no bytes; an id beyond the vocabulary is an error.
+    """
     path = path or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = codec(path)[1].decode
+        tokens, nothing = token_table(path), pa.scalar(b"", pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [decode(part.column(1)[i].values.to_pylist() if part.column(1)[i].is_valid else []) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+                ids = part.column(1)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))).astype(np.int32)
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(ids.flatten())), nothing)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
