@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that base rules and trees keep."""
-    model = rules.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that base rules and trees keep. Trees learn from the labelled documents of the table: the stage before leaves hardly a bad one."""
+    model = rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _kept(docs, lambda d: rules.judge(d, model), rules.ADDED, "kept")
 
 
