@@ -111,11 +111,11 @@ def read_block(offsets: bytes, doc_ids: bytes, frames: bytes, dictionary: bytes,
             yield k, None if null else doc_id, zstd.decompress(frames[at[k] : at[k + 1]])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None) -> str:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: bool = False) -> str:
     """Write all documents' ids, each followed by the end id, under ``path`` (which must not exist) in ascending doc_id.
 
     docs: doc_id, text. A null text is empty; a null doc_id comes first; rows with the same id follow each other, ordered
-    by their texts' hash. An empty table gives a set without blocks. Returns ``path``.
+    by their texts' hash. An empty table gives a set without blocks. ``added`` as in tokens.encoder. Returns ``path``.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -123,7 +123,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None) -> str:
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.lit(max(1, round(share * (1 << 20))))
     sample = narrow.where(draw).select("doc_id", F.left("text", F.lit(SAMPLE_BYTES)).alias("text"))  # SAMPLE_DOCS rows on average, whatever the input
-    data = train_dictionary([encode(r["text"] or "", tokenizer)[:SAMPLE_BYTES] for r in sample.toLocalIterator()])
+    data = train_dictionary([encode(r["text"] or "", tokenizer, added)[:SAMPLE_BYTES] for r in sample.toLocalIterator()])
     spark.createDataFrame([(dictionary_hash(data), bytearray(data))], "dictionary string, data binary").write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(data)
 
@@ -133,7 +133,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None) -> str:
         rows = lambda row: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
         for batch, texts in text_slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                writer.add(doc_id, encode(text, tokenizer))
+                writer.add(doc_id, encode(text, tokenizer, added))
                 if writer.full():
                     yield rows(writer.block())
         if len(writer):
@@ -188,5 +188,5 @@ def _parts_before(parts: DataFrame, group: int = 1_000) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """What the files hold of every document: where its ids start, how many there are, and their checksum."""
-    path = write_ids(table(spark, sf_dir, "documents"), f"{scratch(spark)}/ids-{uuid.uuid4().hex}")
+    path = write_ids(table(spark, sf_dir, "documents"), f"{scratch(spark)}/ids-{uuid.uuid4().hex}", added=True)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

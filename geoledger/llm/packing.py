@@ -144,15 +144,15 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, i
     return stock.rows, -(-end // window)
 
 
-def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """(doc_id, doc_tokens, start, length, ids): each document's ids, its end id last, cut at whole windows."""
+def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW, added: bool = False) -> DataFrame:
+    """(doc_id, doc_tokens, start, length, ids): each document's ids, its end id last, cut at whole windows; ``added`` as in tokens.encoder."""
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                ids = encode(text, path)
+                ids = encode(text, path, added)
                 n = len(ids) // 4
                 rows += [(doc_id, n, at, min(window, n - at), ids[4 * at : 4 * (at + window)]) for at in range(0, n, window)]
             kinds = (*[pa.int64()] * 4, pa.binary())
@@ -162,14 +162,14 @@ def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW) ->
     return narrow.mapInArrow(run, "doc_id long, doc_tokens long, start long, length long, ids binary")
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, added: bool = False) -> DataFrame:
     """(doc_id, doc_tokens, start, length, sequence_id, offset, ids): every piece, with its ids as bytes.
 
     docs: doc_id, text; a null text is empty and so is one end id. Rows with the same or no doc_id are packed as documents
     of their own. Sequences of whole windows have odd ids and the packed ones even ids. An empty table has no pieces.
     """
     spark = docs.sparkSession
-    chunks = written(tokenized(docs, path, window).withColumn("uid", F.monotonically_increasing_id()), "chunks")
+    chunks = written(tokenized(docs, path, window, added).withColumn("uid", F.monotonically_increasing_id()), "chunks")
     names = ["doc_id", "doc_tokens", "start", "length", "sequence_id", "offset", "ids"]
     full = chunks.where(F.col("length") == window)
     full = full.withColumns({"sequence_id": 2 * F.col("uid") + 1, "offset": F.lit(0).cast("long")})
@@ -206,8 +206,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """Where each piece of every document went, with the unsigned checksum of its ids."""
-    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """Where each piece of every document went, with the unsigned checksum of its ids, which are the library's by default."""
+    return pack(docs, added=True).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

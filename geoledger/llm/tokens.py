@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from functools import cache
 from pathlib import Path
@@ -28,11 +29,12 @@ def byte_letters() -> dict[int, str]:
 
 
 @cache
-def encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
     """A function from a text to its ids; one for each worker process.
 
     For a plain byte-level BPE file the library's model encodes each match of the pattern, and what it gave is remembered;
-    for any other file the library encodes the whole text. Strings of special tokens count as ordinary text.
+    for any other file the library encodes the whole text. With ``added``, strings of the file's added tokens are those
+    tokens, as they are to the library unless it is told otherwise; without, strings of special tokens are ordinary text.
     """
     import public_tokenizers
     from tokenizers import Tokenizer, models
@@ -51,12 +53,29 @@ def encoder(path: str) -> Callable[[str], bytes]:
         def one(piece: str) -> bytes:
             return b"".join([packed[t.id] for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
 
-        return PieceEncoder(public_tokenizers.PATTERN, one).encode
+        ordinary = PieceEncoder(public_tokenizers.PATTERN, one).encode
+        tokens = {t["content"]: packed[t["id"]] for t in made["added_tokens"] if added and t["content"]}
+        if not tokens:
+            return ordinary
+        if not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]):
+            return cut_at(tokens, ordinary)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added
     return lambda text: b"".join(map(packed.__getitem__, whole.encode(text, add_special_tokens=False).ids))
 
 
-def encode(text: str, path: str) -> bytes:
+def cut_at(tokens: dict[str, bytes], ordinary: Callable[[str], bytes]) -> Callable[[str], bytes]:
+    """Encodes the leftmost, longest strings of ``tokens`` as those, and what lies between by ``ordinary``."""
+    find = re.compile(f"({'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})").split
+
+    def run(text: str) -> bytes:
+        if not any(t in text for t in tokens):
+            return ordinary(text)
+        return b"".join([tokens[p] if k % 2 else ordinary(p) for k, p in enumerate(find(text))])
+
+    return run
+
+
+def encode(text: str, path: str, added: bool = False) -> bytes:
     """Ids of the text and the end id."""
-    return encoder(path)(text) + END_ID.to_bytes(4, "little")
+    return encoder(path, added)(text) + END_ID.to_bytes(4, "little")
