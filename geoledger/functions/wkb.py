@@ -40,8 +40,8 @@ TYPE_NAMES = {
     102: "AffinePlacement",
     1025: "BrepSolid",
 }
-# The flag bits of the extended format, as decimal.
-Z_FLAG, M_FLAG, SRID_FLAG = 2147483648, 1073741824, 536870912
+# The flag bits of the extended format.
+Z_FLAG, M_FLAG, SRID_FLAG = 0x80000000, 0x40000000, 0x20000000
 FLAGS = Z_FLAG | M_FLAG | SRID_FLAG
 
 NULL_INPUT, NOT_HEX, TOO_SHORT = "Invalid (null input)", "Invalid (not hex)", "Invalid (too short)"

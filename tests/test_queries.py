@@ -42,8 +42,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_imports_without_the_optional_parts(tmp_path):
-    """A copy without the training-data folders still lists the other queries."""
+@pytest.mark.parametrize("pipeline_left", [False, True])
+@pytest.mark.parametrize("path_set", [False, True])
+def test_imports_without_the_optional_parts(tmp_path, pipeline_left, path_set):
+    """A copy without the training-data folder lists the other queries, whatever else can be found on the path."""
     import shutil
     import subprocess
     import sys
@@ -52,5 +54,10 @@ def test_imports_without_the_optional_parts(tmp_path):
     root = Path(entry.__file__).parent
     shutil.copytree(root / "geoledger", tmp_path / "geoledger", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    if pipeline_left and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    others = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != root.resolve()]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(([str(root)] if path_set else []) + others)}
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), any(q.startswith('op') for q in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert said.stdout.split()[1:] == ["False", "False"] and int(said.stdout.split()[0]) >= 18, said.stderr
