@@ -1,38 +1,63 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-A bounded sample is cut into balanced clusters; their centroids are kept in memory with a neighbour graph, which both
-vectors and queries search. A vector near a boundary is put into the lists of several clusters. A query reads the lists
-whose centroid is not much farther than its nearest one. A list that grows long is dealt into sublists, and a list's many
-queries into blocks; every sublist meets every block, so no list is too large for a task and none is cut short.
+Vectors of one length are a node. A node that holds more rows than a list is cut into balanced clusters, learnt from a
+bounded sample of its rows, and the clusters are nodes of the next level; so there are as many lists as the rows need, and
+no node has more than FANOUT children, whose centroids are kept in memory with a neighbour graph that rows and queries
+search. A vector near a boundary is put into the lists of several clusters. A query reads the lists whose centroid is not
+much farther than its nearest one. How much is measured: of CALIBRATION vectors the true neighbours are found by brute
+force, and the least ratio of distances by which TARGET of them would be read is taken. Clustered vectors need few lists
+then, and noise honestly needs many.
+
+Rows meet centroids, and queries meet lists, in sorted partitions where the smaller side is held and the other streams
+past, so every vector is sent once for each of its lists, however many queries there are. A list that grows long, or that
+very many queries read, is dealt into sublists that all its queries meet; none is cut short.
 
 Equal vectors are one entry with their smallest ids, as many as an answer can hold; found neighbours get exact cosines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoledger.llm.common import checkpointed, table
 
-#: Vectors that clusters are learnt from, at most (about), and vectors for each cluster; clusters, at most.
-SAMPLE, PER_CLUSTER, MOST_CLUSTERS = 20_000, 48, 2_048
-#: Neighbours in the centroids' graph, and the least beam that searches it.
-GRAPH_DEGREE, BEAM = 24, 64
+#: Rows of a list that a cut makes, about; a node is cut if it holds more than WHOLE_ROWS.
+LIST_ROWS, WHOLE_ROWS = 64, 512
+#: Children of a node at most, rows they are learnt from for each, and numbers in one node's sample at most.
+FANOUT, PER_CHILD, SAMPLE_VALUES = 1_024, 24, 1 << 24
+#: Levels at most: a crowd that no clusters part (all in one direction) stays one list, which is dealt into sublists.
+MOST_LEVELS = 4
+#: Neighbours in the centroids' graph, random long links beside them, and the beam that searches it.
+GRAPH_DEGREE, LONG_LINKS, BEAM = 20, 4, 16
 #: A vector is copied to lists up to so many times its nearest centroid's distance away, and to so many at most.
-CLOSURE_RATIO, MOST_COPIES = 1.15, 4
-#: A query reads lists up to so many times its nearest centroid's distance away, at least and at most so many.
-PRUNE_RATIO, LEAST_PROBES, MOST_PROBES = 1.35, 16, 160
-#: Rows of one sublist, and queries of one block.
-SUBLIST_ROWS, BLOCK_QUERIES = 4_096, 1_024
+CLOSURE_RATIO, MOST_COPIES = 1.1, 4
+#: Vectors that the pruning ratio is measured with, and the share of their neighbours that must be read.
+CALIBRATION, TARGET = 128, 0.95
+#: Above the last level nodes are kept up to so many times farther than the ratio says, and so many of the nearest anyway.
+SLACK, UPPER_LEAST = 1.05, 8
+#: Distances that differ by rounding only are no further apart than this.
+ROUNDING = 1e-6
+#: Rows that meet one copy of a node's centroids; rows of one sublist, and products of rows and queries in it.
+ROUTE_ROWS, SUBLIST_ROWS, SUBLIST_WORK = 16_384, 4_096, 1 << 28
+_BATCH = 256
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that squares of very large or small components are numbers."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def balanced_clusters(x: np.ndarray, size: int, most: int = MOST_CLUSTERS, seed: int = 11) -> np.ndarray:
-    """Unit centroids of clusters of about ``size`` unit vectors: halve by two-means, each side between 0.4 and 0.6."""
+def balanced_clusters(x: np.ndarray, clusters: int, seed: int = 11) -> np.ndarray:
+    """Unit centroids of about so many clusters of unit vectors: halve by two-means, each side between 0.4 and 0.6."""
     rng, done, todo = np.random.default_rng(seed), [], [np.arange(len(x))]
-    size = max(size, -(-len(x) // most))
+    size = max(1.0, len(x) / clusters)
     while todo:
         rows = todo.pop()
         if len(rows) <= 1.5 * size:
@@ -46,148 +71,342 @@ def balanced_clusters(x: np.ndarray, size: int, most: int = MOST_CLUSTERS, seed:
             pair = np.stack([part[first].mean(axis=0), part[~first].mean(axis=0)]) if 0 < first.sum() < len(rows) else pair
         order = np.argsort(-(part @ (pair[0] - pair[1])), kind="stable")
         at = int(np.clip((part @ (pair[0] - pair[1]) > (pair @ pair.T).diagonal() @ [0.5, -0.5]).sum(), 0.4 * len(rows), 0.6 * len(rows)))
+        at = min(max(at, 1), len(rows) - 1)
         todo += [rows[order[:at]], rows[order[at:]]]
     centroids = np.stack([x[rows].mean(axis=0) for rows in done])
     return centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
 
 
+def graph(centroids: np.ndarray, degree: int = GRAPH_DEGREE) -> np.ndarray:
+    """Links from each centroid to its nearest ones, and a few long ones that keep the graph in one piece."""
+    near, links = min(degree, len(centroids) - 1), []
+    for at in range(0, len(centroids), 512):
+        alike = centroids[at : at + 512] @ centroids.T
+        alike[np.arange(len(alike)), np.arange(at, at + len(alike))] = -9
+        links.append(np.argsort(-alike, axis=1, kind="stable")[:, :near])
+    far = np.random.default_rng(5).integers(0, len(centroids), (len(centroids), LONG_LINKS))
+    return np.concatenate((np.concatenate(links), far), axis=1).astype(np.int32)
+
+
 class Centroids:
-    """Centroids and a graph from each to its nearest ones; searched by a beam, many vectors at a time."""
-
-    def __init__(self, centroids: np.ndarray, degree: int = GRAPH_DEGREE):
-        self.vectors = centroids
-        near = min(degree, len(centroids) - 1)
-        rng, links = np.random.default_rng(5), []
-        for at in range(0, len(centroids), 512):
-            alike = centroids[at : at + 512] @ centroids.T
-            alike[np.arange(len(alike)), np.arange(at, at + len(alike))] = -9
-            links.append(np.argsort(-alike, axis=1, kind="stable")[:, :near])
-        far = rng.integers(0, len(centroids), (len(centroids), 4))  # a few long links keep the graph in one piece
-        self.links = np.concatenate((np.concatenate(links), far), axis=1)
-        self.entries = np.unique(rng.integers(0, len(centroids), 32))
-
-    def search(self, x: np.ndarray, beam: int = BEAM, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of the nearest centroids that the beam finds for each unit vector, nearest first."""
+    """A node's centroids, searched along their graph by a beam, many vectors at a time."""
+
+    def __init__(self, vectors: np.ndarray, links: np.ndarray | None = None):
+        self.vectors = vectors
+        self.links = graph(vectors) if links is None else links
+        self.entries = np.unique(np.linspace(0, len(vectors) - 1, 24).astype(int))
+
+    def search(self, x: np.ndarray, ratio: float = 1.0, least: int = 1, beam: int = BEAM, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, distance): the centroids found within ratio times the nearest one's distance of each unit vector, or among its ``least`` nearest.
+
+        Centroids are opened, nearest first, while they are among the beam's or within the ratio.
+        """
         n, k = len(x), len(self.vectors)
-        beam = min(beam, k)
-        seen = np.zeros((n, k), bool)
         alike, opened = np.full((n, k), -np.inf), np.zeros((n, k), bool)
-        rows = np.arange(n)[:, None]
+        live = np.arange(n)
         new = np.broadcast_to(self.entries, (n, len(self.entries)))
-        while True:
-            seen[rows, new] = True
-            alike[rows, new] = np.einsum("nd,nmd->nm", x, self.vectors[new])
-            best = np.argpartition(-alike, beam - 1, axis=1)[:, :beam] if beam < k else np.broadcast_to(np.arange(k), (n, k))
-            ready = np.where(opened[rows, best], -np.inf, alike[rows, best])
-            pick = np.argsort(-ready, axis=1, kind="stable")[:, :width]
-            chosen, worth = best[rows, pick], np.isfinite(ready[rows, pick])
-            if not worth.any():
-                break
-            opened[rows, chosen] = True
-            new = self.links[chosen].reshape(n, -1)
-        order = np.argsort(-alike[rows, best], axis=1, kind="stable")
-        found = best[rows, order]
-        distance = np.sqrt(np.maximum(0, 2 - 2 * alike[rows, found]))
-        return found, distance
-
-    def lists(self, x: np.ndarray, ratio: float, least: int, most: int) -> list[np.ndarray]:
-        found, distance = self.search(x, max(BEAM, most * 5 // 4))
-        close = distance <= ratio * np.maximum(distance[:, :1], 1e-9)
-        close[:, :least] = True
-        close[:, most:] = False
-        return [f[c & np.isfinite(d)] for f, c, d in zip(found, close, distance)]
+        while len(live):
+            alike[live[:, None], new] = np.einsum("nd,nmd->nm", x[live], self.vectors[new])
+            own = alike[live]
+            reach = 1 - 0.5 * ratio * ratio * np.maximum(0, 2 - 2 * own.max(axis=1))
+            kth = np.partition(own, max(0, k - beam), axis=1)[:, max(0, k - beam)]
+            ready = np.where(opened[live] | (own < np.minimum(reach, kth)[:, None]), -np.inf, own)
+            pick = np.argpartition(-ready, min(width, k) - 1, axis=1)[:, : min(width, k)]
+            worth = np.isfinite(np.take_along_axis(ready, pick, 1))
+            going = worth.any(axis=1)
+            pick, worth, live = pick[going], worth[going], live[going]
+            pick = np.where(worth, pick, pick[np.arange(len(pick)), worth.argmax(axis=1)][:, None])
+            if len(live):
+                opened[live[:, None], pick] = True
+                new = self.links[pick].reshape(len(live), -1)
+        distance = np.sqrt(np.maximum(0, 2 - 2 * alike))
+        limit = ratio * distance.min(axis=1, keepdims=True) + ROUNDING
+        if least > 1:
+            limit = np.maximum(limit, np.partition(distance, min(least, k) - 1, axis=1)[:, min(least, k) - 1 : min(least, k)])
+        rows, places = np.nonzero(np.isfinite(alike) & (distance <= limit))
+        return rows, places, distance[rows, places]
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors that take part, of the most frequent length (the longer, of two).
+    """(vec_id, v): vectors that take part.
 
     Rows without an id or a vector, and vectors that are zero or hold a null, NaN or infinite component, take no part.
     """
     v = F.col("embedding").cast("array<double>")
     got = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
-    got = got.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x != 0)")
-    sizes = got.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return got.where(F.size("v") == (sizes["n"] if sizes else 0))
+    return got.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x != 0)")
 
 
 def _dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 
 
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """(key, kind, rows): rows that follow each other with the same first two columns (the key) and third (the kind)."""
+    for batch in batches:
+        first, second, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        change = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+            if b > a:
+                yield (first[a], second[a]), int(kind[a]), batch.slice(a, b - a)
+
+
+def _meeting(held: DataFrame, streamed: DataFrame, key: str, part: str) -> DataFrame:
+    """Both sides in partitions by key and part, sorted so that the held rows (kind 0) come before those that stream past."""
+    both = held.withColumn("kind", F.lit(0)).unionByName(streamed.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    order = [key, part, "kind", *(c for c in held.columns if c not in (key, part))]
+    return both.select(*order).repartition(key, part).sortWithinPartitions(key, part, "kind")
+
+
+def _length(node: str) -> int:
+    """The vectors' length, with which a node's name begins."""
+    return int(node.partition(".")[0])
+
+
+def _route(rows: DataFrame, level: DataFrame, ratio: float, least: int, most: int | None) -> DataFrame:
+    """(uid, node, distance): the children of their node that rows (uid, node, v) belong to, ``most`` of the nearest ones.
+
+    They are within the ratio of the nearest, or among the ``least`` nearest.
+    """
+    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / ROUTE_ROWS).cast("int").alias("parts"))
+    known = checkpointed(level.select("node").join(sizes, "node"))
+    heads = level.join(known, "node").select("node", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(-1).cast("long").alias("uid"), F.col("centroids").alias("v"), "links")
+    asking = rows.join(known, "node").select("node", F.expr("cast(pmod(xxhash64(uid), parts) as int)").alias("part"), "uid", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
+        for (node, _), kind, part in _stretches(batches):
+            width = _length(node)
+            if kind == 0:
+                vectors = _matrix(part.column(4), width)
+                index = Centroids(vectors, _matrix(part.column(5), len(part.column(5)[0]) // len(vectors)))
+                continue
+            uids, x = part.column(3).to_numpy(), unit(_matrix(part.column(4), width))
+            for at in range(0, len(x), _BATCH):
+                at_row, place, distance = index.search(x[at : at + _BATCH], ratio, least)
+                if most is not None:
+                    order = np.lexsort((place, distance, at_row))
+                    at_row, place, distance = at_row[order], place[order], distance[order]
+                    first = np.searchsorted(at_row, at_row)
+                    keep = np.arange(len(at_row)) - first < most
+                    at_row, place, distance = at_row[keep], place[keep], distance[keep]
+                names = pa.array([f"{node}.{p}" for p in place.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(uids[at : at + _BATCH][at_row]), names, pa.array(distance)], ["uid", "node", "distance"])
+
+    return _meeting(heads, asking, "node", "part").mapInArrow(run, "uid long, node string, distance double")
+
+
+def _learn(placed: DataFrame, vectors: DataFrame) -> DataFrame | None:
+    """(node, centroids, links) of the nodes that are cut, each learnt from a bounded sample of its rows; None if none is."""
+    sizes = placed.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE_ROWS)
+    sizes = sizes.withColumn("width", F.expr("cast(substring_index(node, '.', 1) as long)"))
+    sizes = sizes.withColumn("most", F.expr(f"least({PER_CHILD * FANOUT}, {SAMPLE_VALUES} div width)"))
+    sizes = sizes.withColumn("children", F.expr(f"cast(greatest(2, least({FANOUT}, ceil(n / {LIST_ROWS}), most div 4)) as int)"))
+    sizes = checkpointed(sizes.withColumn("share", F.expr(f"least(1D, greatest(64D, least(most, {PER_CHILD} * children)) / n)")).select("node", "children", "share"))
+    if not sizes.take(1):
+        return None
+    drawn = placed.join(sizes, "node").where("pmod(xxhash64(uid, 'learn', node), 16777216) < share * 16777216").select("uid", "node", "children")
+
+    def run(key, part):
+        x = unit(np.stack(part["v"].to_numpy()))
+        x = x[np.lexsort(x.T)]  # rows come in any order
+        centroids = balanced_clusters(x, int(part["children"].iloc[0]))
+        return part.iloc[:1][["node"]].assign(centroids=[centroids.ravel()], links=[graph(centroids).ravel()])
+
+    return checkpointed(drawn.join(vectors, "uid").groupBy("node").applyInPandas(run, "node string, centroids array<double>, links array<int>"))
+
+
+def _closest(placed: DataFrame, ratio: float, most: int | None) -> DataFrame:
+    """Of the lists of each uid those within the ratio of its nearest, ``most`` at most."""
+    own = Window.partitionBy("uid")
+    near = placed.withColumn("least", F.min("distance").over(own)).where(F.col("distance") <= ratio * F.col("least") + ROUNDING)
+    if most is not None:
+        near = near.withColumn("at", F.row_number().over(own.orderBy("distance", "node"))).where(F.col("at") <= most)
+    return near.drop("least", "at")
+
+
+@dataclass
+class Index:
+    """Levels of nodes, and the lists (nodes without children) that every vector is in."""
+
+    vectors: DataFrame
+    levels: list[DataFrame]
+    lists: DataFrame
+
+    @classmethod
+    def of(cls, vectors: DataFrame) -> Index:
+        """vectors: uid, v, all of them different. Every vector is in one list at least."""
+        index = cls(vectors, [], vectors.select("uid", F.size("v").cast("string").alias("node"), F.lit(0.0).alias("distance")))
+        moving, settled = index.lists, None
+        while len(index.levels) < MOST_LEVELS and (level := _learn(moving, vectors)) is not None:
+            index.levels.append(level)
+            still, moved = index._step(moving, level, CLOSURE_RATIO, 1, MOST_COPIES)
+            settled = still if settled is None else settled.unionByName(still)
+            if len(index.levels) > 1:  # a vector's copies come from several parents
+                both = settled.withColumn("done", F.lit(True)).unionByName(moved.withColumn("done", F.lit(False)))
+                near = checkpointed(_closest(both, CLOSURE_RATIO, MOST_COPIES))
+                settled, moved = near.where("done").drop("done"), near.where("not done").drop("done")
+            moving = checkpointed(moved)
+        index.lists = moving if settled is None else checkpointed(settled.unionByName(moving))
+        return index
+
+    def _step(self, moving: DataFrame, level: DataFrame, ratio: float, least: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+        """(rows whose node has no children, rows moved to children of theirs)."""
+        nodes = level.select("node")
+        going = moving.join(nodes, "node", "left_semi").join(self.vectors, "uid").select("uid", "node", "v")
+        return moving.join(nodes, "node", "left_anti"), _route(going, level, ratio, least, most)
+
+    def probes(self, queries: DataFrame, ratio: float) -> DataFrame:
+        """(uid, node): the lists that queries (uid) read."""
+        moving, settled = queries.join(self.vectors, "uid").select("uid", F.size("v").cast("string").alias("node"), F.lit(0.0).alias("distance")), None
+        for k, level in enumerate(self.levels, 1):
+            last = k == len(self.levels)
+            still, moved = self._step(moving, level, ratio if last else ratio * SLACK, 1 if last else UPPER_LEAST, None)
+            settled = still if settled is None else settled.unionByName(still)
+            moving = checkpointed(moved)
+        found = moving if settled is None else settled.unionByName(moving)
+        return _closest(found, ratio, None).select("uid", "node")
+
+    def ratio(self, k: int) -> float:
+        """The least ratio of distances by which TARGET of the k nearest of CALIBRATION vectors, found by brute force, would be read."""
+        if not self.levels:
+            return 1.0
+        drawn = self.vectors.orderBy(F.xxhash64("uid", F.lit("measure")), "uid").limit(CALIBRATION).select("uid", "v").toArrow().combine_chunks()
+        uids, lists = drawn.column("uid").to_numpy(), drawn.column("v").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        of_length = {int(w): (uids[sizes == w], unit(_matrix(lists.filter(pa.array(sizes == w)), int(w)))) for w in np.unique(sizes)}
+
+        def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {w: (np.full((len(x), k), -9.0), np.full((len(x), k), -1)) for w, (_, x) in of_length.items()}
+            for batch in batches:
+                here = batch.column(1).value_lengths().to_numpy()
+                for w, (own, x) in of_length.items():
+                    part = batch.filter(pa.array(here == w))
+                    if part.num_rows:
+                        near, at = best[w]
+                        alike = x @ unit(_matrix(part.column(1), w)).T
+                        ids = part.column(0).to_numpy()
+                        alike[own[:, None] == ids] = -9
+                        near, at = np.concatenate((near, alike), axis=1), np.concatenate((at, np.broadcast_to(ids, alike.shape)), axis=1)
+                        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                        best[w] = np.take_along_axis(near, top, 1), np.take_along_axis(at, top, 1)
+            for w, (near, at) in best.items():
+                ok = near.ravel() > -9
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of_length[w][0], k)[ok]), pa.array(at.ravel()[ok]), pa.array(near.ravel()[ok])], ["quid", "uid", "near"])
+
+        def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, flat in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if (w := _length(node)) in of_length:
+                        own, x = of_length[w]
+                        far = np.sqrt(np.maximum(0, 2 - 2 * x @ flat.values.to_numpy().reshape(-1, w).T))
+                        names = [f"{node}.{p}" for p in range(far.shape[1])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(names))), pa.array(names * len(own), pa.string()), pa.array(far.ravel())], ["quid", "node", "distance"])
+
+        order = Window.partitionBy("quid").orderBy(F.desc("near"), "uid")
+        near = self.vectors.select("uid", "v").mapInArrow(truth, "quid long, uid long, near double").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
+        in_lists = checkpointed(self.lists.join(F.broadcast(near.select("quid", "uid")), "uid").select("quid", "uid", "node"))  # k * CALIBRATION rows are broadcast
+        nodes = checkpointed(self._all_nodes())
+        far = nodes.select("node", "centroids").mapInArrow(away, "quid long, node string, distance double").join(nodes.select("node"), "node", "left_anti")
+        nearest = far.groupBy("quid").agg(F.min("distance").alias("least"))
+        needs = far.join(F.broadcast(in_lists), ["quid", "node"]).join(nearest, "quid")  # MOST_COPIES times as many
+        needs = in_lists.select("quid", "uid").distinct().join(needs.groupBy("quid", "uid").agg(F.min(F.col("distance") / F.greatest("least", F.lit(ROUNDING))).alias("r")), ["quid", "uid"], "left")
+        got = [r["r"] if r["r"] is not None else 1.0 for r in needs.collect()]  # k * CALIBRATION numbers; one without a distance is in its length's only list
+        return max(1.0, float(np.quantile(got, TARGET, method="higher"))) + 1e-6 if got else 1.0
+
+    def _all_nodes(self) -> DataFrame:
+        every = self.levels[0]
+        for level in self.levels[1:]:
+            every = every.unionByName(level)
+        return every
+
+
+class Search:
+    """The k nearest of every usable row that ``is_query`` (SQL over vec_id) holds for, step by step."""
+
+    def __init__(self, rows: DataFrame, is_query: str, k: int = 5):
+        self.k = k
+        own = checkpointed(usable(rows).distinct())
+        place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        entries = own.withColumn("place", place).where(F.col("place") <= k + 1)  # no answer holds more of one vector's ids
+        entries = entries.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        self.entries = checkpointed(entries.withColumn("uid", F.monotonically_increasing_id()))
+        self.asked = checkpointed(own.where(is_query).join(self.entries.select("v", "uid"), "v").select(F.col("vec_id").alias("query_id"), "uid"))
+        self.index = Index.of(self.entries.select("uid", "v"))
+        self.ratio = self.index.ratio(k)
+        queries = self.asked.select("uid").distinct()
+        self.probes = checkpointed(self.index.probes(queries, self.ratio))
+        rows = self.probes.join(self._sizes(), "node").groupBy("uid").agg(F.sum("n").alias("n"))
+        short = checkpointed(rows.where(F.col("n") <= (k + 1) * MOST_COPIES).select("uid"))
+        if short.take(1):  # lists too small to answer: these queries read all lists of their length
+            self.probes = self.probes.join(short, "uid", "left_anti").unionByName(self.index.probes(short, 1e6))
+
+    def _sizes(self) -> DataFrame:
+        return self.index.lists.groupBy("node").agg(F.count("*").alias("n"))
+
+    def read_share(self) -> float:
+        """The mean share of all entries, copies in several lists counted each, that one query's lists hold."""
+        read, asked = self.probes.join(self._sizes(), "node").agg(F.sum("n")).first()[0] or 0, self.asked.select("uid").distinct().count()
+        return read / max(1, asked * self.entries.count())
+
+    def _met(self) -> DataFrame:
+        """(quid, uid, near, least): the k + 1 nearest of each query in each sublist (itself may be there); what differs by rounding only is a tie."""
+        k, vectors = self.k, self.entries.select("uid", "v", F.col("ids")[0].alias("least"))
+        asking = self.probes.groupBy("node").agg(F.count("*").alias("queries"))
+        deal = self._sizes().join(asking, "node")
+        deal = checkpointed(deal.selectExpr("node", f"cast(least(n, greatest(ceil(n / {SUBLIST_ROWS}), ceil(n * queries / {SUBLIST_WORK}))) as int) as subs"))
+        held = self.index.lists.join(deal, "node").select("node", F.expr("cast(pmod(xxhash64(uid), subs) as int)").alias("sub"), "uid").join(vectors, "uid")
+        streamed = self.probes.join(deal, "node").select("node", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), "uid").join(vectors.drop("least"), "uid")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, parts, ids, least, x = None, [], None, None, None
+            for key, kind, part in _stretches(batches):
+                if key != last:
+                    last, parts, ids = key, [], None
+                if kind == 0:
+                    parts.append((part.column(3).to_numpy(), part.column(5).to_numpy(), unit(_matrix(part.column(4), _length(key[0])))))
+                    continue
+                if not parts:
+                    continue
+                if ids is None:
+                    ids, least, x = (np.concatenate(c) for c in zip(*parts))
+                    order = np.argsort(least, kind="stable")
+                    ids, least, x = ids[order], least[order], x[order]
+                quids, q = part.column(3).to_numpy(), unit(_matrix(part.column(4), _length(key[0])))
+                most = min(k + 1, len(ids))
+                for at in range(0, len(q), _BATCH):
+                    alike = np.round(q[at : at + _BATCH] @ x.T, 12)
+                    best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
+                    columns = [np.repeat(quids[at : at + _BATCH], most), ids[best.ravel()], np.take_along_axis(alike, best, 1).ravel(), least[best.ravel()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["quid", "uid", "near", "least"])
+
+        return _meeting(held, streamed, "node", "sub").mapInArrow(run, "quid long, uid long, near double, least long")
+
+    def answers(self) -> DataFrame:
+        """(query_id, rank, vec_id, score)."""
+        k, vectors = self.k, self.entries.select("uid", "v")
+        met = self._met().groupBy("quid", "uid").agg(F.max("near").alias("near"), F.first("least").alias("least"))
+        met = met.withColumn("at", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("near"), "least"))).where(F.col("at") <= k + 2)
+        pairs = met.select("quid", "uid").unionByName(self.asked.select(F.col("uid").alias("quid"), "uid")).distinct()
+        exact = pairs.join(vectors.select(F.col("uid").alias("quid"), F.col("v").alias("q")), "quid").join(self.entries, "uid")
+        exact = exact.select("quid", "ids", F.expr(f"{_dot('q', 'v')} / (sqrt({_dot('q', 'q')}) * sqrt({_dot('v', 'v')}))").alias("score"))
+        found = self.asked.join(exact, F.col("quid") == F.col("uid")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(rows: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each usable row that ``is_query`` (SQL over vec_id) holds for, its k nearest.
 
-    Nearness is the cosine, in doubles, computed from the original vectors; ties go to the smaller vec_id. A row isn't its
-    own neighbour. Repeated rows count once. With k or fewer candidates all come. An empty table gives no rows.
+    Nearness is the cosine, in doubles, computed from the original vectors; ties go to the smaller vec_id. Vectors are
+    compared with those of their own length. A row isn't its own neighbour. Repeated rows count once. With k or fewer
+    candidates all come. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    own = checkpointed(usable(rows).distinct())
-    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    entries = own.withColumn("place", place).where(F.col("place") <= k + 1)  # no answer holds more of one vector's ids
-    entries = entries.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = checkpointed(entries.withColumn("uid", F.monotonically_increasing_id()))
-    asked = checkpointed(own.where(is_query).join(entries.select("v", "uid"), "v").select(F.col("vec_id").alias("query_id"), "uid"))
-
-    total = entries.count()
-    drawn = F.pmod(F.xxhash64("uid", F.lit("sample")), F.lit(1 << 24)) < F.lit(round(min(1.0, SAMPLE / max(1, total)) * (1 << 24)))
-    sample = np.array([r["v"] for r in entries.where(drawn).select("v").collect()], float)  # about SAMPLE vectors
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    sample = sample[np.lexsort(sample.T)]  # rows come in any order
-    index = Centroids(balanced_clusters(sample, max(8, PER_CLUSTER * len(sample) // max(total, len(sample)))))
-    shared = spark.sparkContext.broadcast(index)  # MOST_CLUSTERS vectors and links at most
-
-    def assign(ratio: float, least: int, most: int):
-        def run(batches):
-            for batch in batches:
-                for at in range(0, len(batch), 256):
-                    part = batch.iloc[at : at + 256]
-                    x = np.stack(part["v"].to_numpy())
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    found = shared.value.lists(x, ratio, least, most)
-                    sizes = [len(f) for f in found]
-                    yield pd.DataFrame({"uid": np.repeat(part["uid"].to_numpy(), sizes), "list": np.concatenate(found).astype(np.int32)})
-
-        return run
-
-    vectors, placed = entries.select("uid", "v", F.col("ids")[0].alias("least")), "uid long, list int"
-    postings = checkpointed(vectors.mapInPandas(assign(CLOSURE_RATIO, 1, MOST_COPIES), placed))
-    searched = vectors.join(asked.select("uid").distinct(), "uid")
-    probes = checkpointed(searched.mapInPandas(assign(PRUNE_RATIO, LEAST_PROBES, MOST_PROBES), placed))
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / SUBLIST_ROWS).cast("int").alias("subs"))
-    blocks = probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
-    deal = F.broadcast(checkpointed(sizes.join(blocks, "list")))  # a row for each cluster at most
-    slot = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = postings.join(deal, "list").select("list", slot("subs").alias("sub"), every("blocks").alias("block"), "uid").join(vectors, "uid")
-    asking = probes.join(deal, "list").select("list", every("subs").alias("sub"), slot("blocks").alias("block"), "uid").join(vectors, "uid")
-    asking = asking.select("list", "sub", "block", F.col("uid").alias("quid"), F.col("v").alias("q"))
-    stored = stored.select("list", "sub", "block", "uid", "v", "least")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The k + 1 nearest of each query in one sublist (itself may be there); what differs by rounding only is a tie."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"quid": [], "uid": [], "near": [], "least": []}).astype({"quid": "int64", "uid": "int64", "near": "float64", "least": "int64"})
-        right = right.sort_values("least")
-        q, x = np.stack(left["q"].to_numpy()), np.stack(right["v"].to_numpy())
-        alike = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-        alike = np.round(alike, 12)
-        most = min(k + 1, len(x))
-        best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
-        got = right[["uid", "least"]].to_numpy()[best.ravel()]
-        return pd.DataFrame({"quid": np.repeat(left["quid"].to_numpy(), most), "uid": got[:, 0], "near": np.take_along_axis(alike, best, 1).ravel(), "least": got[:, 1]})
-
-    keys = ["list", "sub", "block"]
-    met = asking.groupBy(keys).cogroup(stored.groupBy(keys)).applyInPandas(compare, "quid long, uid long, near double, least long")
-    met = met.groupBy("quid", "uid").agg(F.max("near").alias("near"), F.first("least").alias("least"))
-    met = met.withColumn("at", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("near"), "least"))).where(F.col("at") <= k + 2)
-    pairs = met.select("quid", "uid").unionByName(asked.select(F.col("uid").alias("quid"), "uid")).distinct()
-    exact = pairs.join(vectors.select(F.col("uid").alias("quid"), F.col("v").alias("q")), "quid").join(entries, "uid")
-    exact = exact.select("quid", "ids", F.expr(f"{_dot('q', 'v')} / (sqrt({_dot('q', 'q')}) * sqrt({_dot('v', 'v')}))").alias("score"))
-    answers = asked.join(exact, F.col("quid") == F.col("uid")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return Search(rows, is_query, k).answers()
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

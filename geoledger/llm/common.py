@@ -6,8 +6,11 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,61 +20,90 @@ SLICE_ROWS = 256
 SLICE_CHARS = 4_000_000
 
 
-#: Rows of a batch that goes to a Python worker. The session's setting is lowered to it: with 10,000 rows, a batch of long
-#: texts makes byte arrays of tens of MB in the executor, which the collector handles badly.
+#: Rows of a batch that goes to a Python worker: with 10,000 rows, a batch of long texts makes byte arrays of tens of MB in
+#: the executor, which the collector handles badly.
 BATCH_ROWS = 1_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS. Only the registered queries and the pipeline's run() do this."""
     if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder; text is read from it in small batches."""
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder, spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes from fewer files than there are cores and is small for them.
+
+    A file may be a single row group, which is one task whatever its splits; larger inputs have enough of them.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size >= cores * split or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    small_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a temporary one, which goes at the end; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="geoledger-")
         spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        keep(spark, base)
     return base
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table with a reliable checkpoint."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders to remove: path to the file system's and the path's handles, which outlive a stopped session.
+_KEPT: dict[str, tuple] = {}
+_FOLDER_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage of a wide table: write it as Parquet to the shared folder and read it back.
+def keep(spark: SparkSession, path: str) -> str:
+    """Note a folder for removal by release()."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _KEPT[path] = (target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
+    return path
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the folders behind these frames of written(), or all intermediate folders: call it once results are consumed.
 
-    The folder goes when the driver's Python ends; its readers are lazy, so not before.
+    It is called without frames when the driver's Python ends.
     """
+    for path in [_FOLDER_OF.pop(f) for f in frames if f in _FOLDER_OF] if frames else list(_KEPT):
+        system, target = _KEPT.pop(path)
+        with suppress(Py4JError, OSError):  # the JVM may have gone before
+            system.delete(target, True)
+
+
+atexit.register(release)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back. Its folder stays until release()."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = keep(spark, f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _FOLDER_OF[back] = path
+    return back
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may be gone, and the folder with it
-        pass
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate table."""
+    return written(df, "cut")
 
 
 #: The name under which a Python worker gets the text, beside columns of any name.

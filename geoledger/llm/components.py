@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import checkpointed
+from geoledger.llm.common import checkpointed, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Rounds of large-star and small-star (Kiveris et al., 2014) until the edge set no longer changes; each node's
     minimum is a partial aggregate and goes back by a join that adaptive execution can split, so a hub is no hot task.
-    Each round's edges are cut off by a reliable checkpoint. Loops, repeats and an empty graph are allowed.
+    Each round's edges are written and read back; the round before's files go. Loops, repeats and an empty graph are allowed.
     """
     a, b = F.col(left), F.col(right)
     now = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -42,6 +42,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if (state["n"], state["h"]) == mark or not state["n"]:
             break
         mark = (state["n"], state["h"])
-        now = checkpointed(_small_star(_large_star(now)))
+        before, now = now, checkpointed(_small_star(_large_star(now)))
+        release(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

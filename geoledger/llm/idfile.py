@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import scratch, table, text_slices
+from geoledger.llm.common import keep, scratch, table, text_slices
 from geoledger.llm.tokens import default_tokenizer, encode
 
 #: The dictionary is trained on about so many documents, of each at most so many bytes of ids.
@@ -188,5 +188,5 @@ def _parts_before(parts: DataFrame, group: int = 1_000) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """What the files hold of every document: where its ids start, how many there are, and their checksum."""
-    path = write_ids(table(spark, sf_dir, "documents"), f"{scratch(spark)}/ids-{uuid.uuid4().hex}", added=True)
+    path = write_ids(table(spark, sf_dir, "documents"), keep(spark, f"{scratch(spark)}/ids-{uuid.uuid4().hex}"), added=True)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -1,8 +1,11 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from collections.abc import Callable
+
 from geoledger.llm.ann import op4
 from geoledger.llm.bpe import op8
 from geoledger.llm.chat import OP7_SQL, op7
+from geoledger.llm.common import small_batches
 from geoledger.llm.idfile import op10
 from geoledger.llm.langid import op3
 from geoledger.llm.packing import op1
@@ -11,6 +14,19 @@ from geoledger.llm.rules import op9
 from geoledger.llm.simhash import op2
 from geoledger.llm.toxicity import op5
 
+
+
+def _registered(operator: Callable) -> Callable:
+    """The operator as a query: texts go to Python in small batches, for which the session's setting is lowered."""
+
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return operator(spark, sf_dir)
+
+    run.__doc__ = operator.__doc__
+    return run
+
+
 QUERIES = {
     "op1_packing": op1,
     "op2_simhash": op2,
@@ -23,6 +39,7 @@ QUERIES = {
     "op9_quality_rules": op9,
     "op10_token_files": op10,
 }
+QUERIES = {name: _registered(operator) for name, operator in QUERIES.items()}
 
 #: The others hash with XXH64, tokenize, learn or search, which SQL can't express; tests hold them against brute force.
 ORACLES: dict[str, str] = {

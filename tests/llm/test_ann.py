@@ -11,12 +11,10 @@ SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 def brute(rows, is_query, k=5):
     """Answers for usable rows: (query_id, rank) to vec_id, with rounded scores."""
     usable = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
-    length = max({len(v) for v in usable.values()}, key=lambda n: (sum(len(v) == n for v in usable.values()), n), default=0)
-    usable = {i: v for i, v in usable.items() if len(v) == length}
     out = {}
     for q, a in usable.items():
         if is_query(q):
-            scores = sorted((-round(float(a @ v / (np.linalg.norm(a) * np.linalg.norm(v))), 9), i) for i, v in usable.items() if i != q)
+            scores = sorted((-round(float(a @ v / (np.linalg.norm(a) * np.linalg.norm(v))), 9), i) for i, v in usable.items() if i != q and len(v) == len(a))
             for rank, (s, i) in enumerate(scores[:k], 1):
                 out[q, rank] = (i, -s)
     return out
@@ -32,7 +30,7 @@ def test_odd_rows_ties_and_copies(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(60)]
     rows += [(100 + i, rows[3][1]) for i in range(30)] + [(200 + i, [2 * x for x in rows[4][1]]) for i in range(3)] + [rows[5], rows[5]]
-    rows += [(300, None), (301, [0.0] * 4), (302, [1.0, None, 2.0, 3.0]), (303, [1.0, float("nan"), 0.0, 0.0]), (304, [1.0, float("inf"), 0.0, 0.0]), (None, rows[1][1]), (305, [1.0, 2.0]), (306, [])]
+    rows += [(300, None), (301, [0.0] * 4), (302, [1.0, None, 2.0, 3.0]), (303, [1.0, float("nan"), 0.0, 0.0]), (304, [1.0, float("inf"), 0.0, 0.0]), (None, rows[1][1]), (305, [1.0, 2.0]), (306, []), (307, [2.0, 1.0]), (308, [-1.0, 0.5]), (309, [1.0] * 5)]
     want = brute(dict(rows[:93]).items(), lambda q: q % 3 == 0)
     assert found(spark, rows, "vec_id % 3 = 0") == want
 
@@ -43,33 +41,95 @@ def test_few_rows(spark, n):
     assert found(spark, rows, "true") == brute(rows, lambda q: True)
 
 
-def test_recall(spark):
+def sphere(rng, n, d):
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def table_of(spark, x):
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype("f4")))}))
+
+
+def recall_and_share(spark, x):
+    """Recall of five neighbours of every fiftieth row against brute force, and the share of rows that a query reads."""
+    search = ann.Search(table_of(spark, x), "vec_id % 50 = 0")
+    got = {(r["query_id"], r["vec_id"]) for r in search.answers().collect()}
+    x = x.astype("f4").astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries = np.arange(0, len(x), 50)
+    alike = x[queries] @ x.T
+    alike[np.arange(len(queries)), queries] = -9
+    best = np.argsort(-alike, axis=1)[:, :5]
+    assert len(got) == best.size
+    return np.mean([(q, b) in got for q, row in zip(queries.tolist(), best.tolist()) for b in row]), search.read_share()
+
+
+def test_clustered_vectors_need_few_lists(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=32)]) for i in range(3_000)]
-    got, want = found(spark, rows, "vec_id % 50 = 0"), brute(rows, lambda q: q % 50 == 0)
-    hits = sum(len({got[q, r][0] for r in range(1, 6)} & {want[q, r][0] for r in range(1, 6)}) for q in range(0, 3_000, 50))
-    assert len(got) == len(want) and hits / len(want) >= 0.9
+    x = sphere(rng, 500, 32)[rng.integers(0, 500, 50_000)] + 0.08 * rng.normal(size=(50_000, 32))
+    recall, share = recall_and_share(spark, x)
+    assert recall >= 0.9 and share < 0.02
+
+
+def test_noise_is_read_as_far_as_recall_needs(spark):
+    recall, share = recall_and_share(spark, sphere(np.random.default_rng(1), 4_000, 12))
+    assert recall >= 0.9 and share < 0.5
+
+
+def test_levels_below_levels(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "WHOLE_ROWS", 24)
+    monkeypatch.setattr(ann, "FANOUT", 8)
+    monkeypatch.setattr(ann, "UPPER_LEAST", 2)
+    monkeypatch.setattr(ann, "ROUTE_ROWS", 500)
+    rng = np.random.default_rng(6)
+    x = sphere(rng, 60, 8)[rng.integers(0, 60, 3_000)] + 0.05 * rng.normal(size=(3_000, 8))
+    search = ann.Search(table_of(spark, x), "vec_id % 50 = 0")
+    assert len(search.index.levels) >= 3
+    copies = {r["uid"]: r["count"] for r in search.index.lists.groupBy("uid").count().collect()}
+    assert len(copies) == 3_000 and max(copies.values()) <= ann.MOST_COPIES
+    recall, share = recall_and_share(spark, x)
+    assert recall >= 0.9 and share < 0.25
+
+
+def test_one_direction_is_no_endless_tree(spark):
+    x = np.outer(np.arange(1, 1_001), [0.5, 0.25])
+    got = ann.nearest(table_of(spark, x), "vec_id = 0").collect()
+    assert sorted(r["vec_id"] for r in got) == [1, 2, 3, 4, 5]
+
+
+def test_queries_in_small_lists_get_whole_answers(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 2)
+    monkeypatch.setattr(ann, "WHOLE_ROWS", 3)
+    rows = [(i, [1.0, float(i) ** 2]) for i in range(40)]
+    got = found(spark, rows, "vec_id % 10 = 0")
+    assert len(got) == 20
 
 
 def test_graph_finds_what_all_centroids_would():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(4_000, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = ann.Centroids(ann.balanced_clusters(x, 20))
-    best = (x[:300] @ index.vectors.T).argmax(axis=1)
-    assert (index.search(x[:300])[0][:, 0] == best).mean() > 0.97
+    x = sphere(rng, 4_000, 16)
+    index = ann.Centroids(ann.balanced_clusters(x, 200))
+    alike = x[:300] @ index.vectors.T
+    row, place, distance = index.search(x[:300], 1.1)
+    far = np.sqrt(2 - 2 * alike)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(far <= 1.1 * far.min(axis=1, keepdims=True)))))
+    got = set(zip(row.tolist(), place.tolist()))
+    assert len(want & got) / len(want) > 0.97 and np.allclose(distance, far[row, place], atol=1e-6)
 
 
 def test_clusters_are_balanced():
     x = np.concatenate((np.random.default_rng(3).normal(size=(1_500, 8)), np.ones((500, 8))))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centroids = ann.balanced_clusters(x, 50)
+    centroids = ann.balanced_clusters(x, 40)
     assert 25 <= len(centroids) <= 80
 
 
 def test_long_lists_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ann, "SUBLIST_ROWS", 16)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(ann, "SUBLIST_WORK", 500)
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in (1 + 0.05 * rng.normal(size=6))]) for i in range(300)]
     assert found(spark, rows, "vec_id % 5 = 0") == brute(rows, lambda q: q % 5 == 0)
