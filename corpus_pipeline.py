@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.llm import nearcopies, packing, quality, rules
-from geoledger.llm.common import table, written
+from geoledger.llm.common import release, small_batches, table, written
 
 
 def _kept(docs: DataFrame, judged, new: list[str], condition: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written and read again as the next one's input."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
