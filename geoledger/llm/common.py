@@ -44,7 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= cores * split or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
