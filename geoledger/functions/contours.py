@@ -46,8 +46,8 @@ def segments(tiles: DataFrame, tile_id: str, interval: float, base: float = 0.0)
     return out.selectExpr(f"`{tile_id}`", "level", "p.x as x1", "p.y as y1", "q.x as x2", "q.y as y2")
 
 
-def _edges(v: np.ndarray, level: float) -> tuple[np.ndarray, dict[int, tuple[float, float]]]:
-    """Pairs of crossed edges, one for each segment, and where every crossed edge is crossed (column, row).
+def _edges(v: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of crossed edges, one for each segment, and where each edge is crossed (column, row), if it is.
 
     Edge numbers: 2k runs right from cell k, 2k + 1 runs down from it.
     """
@@ -55,14 +55,13 @@ def _edges(v: np.ndarray, level: float) -> tuple[np.ndarray, dict[int, tuple[flo
     h, w = v.shape
     cell = np.arange(h * w).reshape(h, w)
     across, down = up[:, :-1] != up[:, 1:], up[:-1] != up[1:]
+    places = np.zeros((2 * h * w, 2))
     with np.errstate(divide="ignore", invalid="ignore"):
         px = np.arange(w - 1) + (level - v[:, :-1]) / (v[:, 1:] - v[:, :-1])
         py = np.arange(h - 1)[:, None] + (level - v[:-1]) / (v[1:] - v[:-1])
-    places = {}
-    for (y, x), k in zip(np.argwhere(across).tolist(), (2 * cell[:, :-1][across]).tolist()):
-        places[k] = (float(px[y, x]), float(y))
-    for (y, x), k in zip(np.argwhere(down).tolist(), (2 * cell[:-1][down] + 1).tolist()):
-        places[k] = (float(x), float(py[y, x]))
+    (y, x), (y2, x2) = np.nonzero(across), np.nonzero(down)
+    places[2 * cell[y, x]] = np.stack((px[y, x], y), axis=1)
+    places[2 * cell[y2, x2] + 1] = np.stack((x2, py[y2, x2]), axis=1)
     sides = np.stack([2 * cell[:-1, :-1], 2 * cell[:-1, 1:] + 1, 2 * cell[1:, :-1], 2 * cell[:-1, :-1] + 1], axis=-1)
     crossed = np.stack([across[:-1], down[:, 1:], across[1:], down[:, :-1]], axis=-1)
     n = crossed.sum(axis=-1)
@@ -111,8 +110,8 @@ def contour_lines(raster: Raster, interval: float = 10.0, base: float = 0.0) ->
     for k in range(int(np.ceil((v.min() - base) / interval)), int(np.floor((v.max() - base) / interval)) + 1):
         pairs, places = _edges(v, base + k * interval)
         for line in _lines(pairs):
-            centred = ((places[n][0] + 0.5, places[n][1] + 0.5) for n in line)
-            out.append([(a + b * x + c * y, d + e * x + f * y) for x, y in centred])
+            x, y = places[line].T + 0.5
+            out.append(list(zip((a + b * x + c * y).tolist(), (d + e * x + f * y).tolist())))
     return out
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoledger.names import unused
+
 # The geometry type codes of the WKB standard and of its SQL/MM extensions.
 TYPE_NAMES = {
     0: "Geometry",
@@ -73,11 +75,15 @@ def _named(base: str) -> str:
     return f"case when {base} < {len(dense)} then element_at(array({listed}), cast({base} + 1 as int)) {rest} else concat('Unknown(', {base}, ')') end"
 
 
-#: SQL of the base type and of the dimensions of a ``code``. Bits 1 and 2 of the dimensions are M and Z: the flags' own
-#: bits, or what the thousands of a plain code stand for.
-_FLAGGED, _THOUSANDS = f"(code & {FLAGS}L) != 0", "code between 1000 and 3999"
-_BASE = f"if({_FLAGGED}, code & {2**32 - 1 - FLAGS}L, if({_THOUSANDS}, code % 1000, code))"
-_DIMS = f"if({_FLAGGED}, shiftright(code, 30) & 3, if({_THOUSANDS}, element_at(array(2L, 1L, 3L), cast(code div 1000 as int)), 0L))"
+def _base(code: str) -> str:
+    """SQL of the base type of a type code."""
+    return f"if(({code} & {FLAGS}L) != 0, {code} & {2**32 - 1 - FLAGS}L, if({code} between 1000 and 3999, {code} % 1000, {code}))"
+
+
+def _dims(code: str) -> str:
+    """SQL of the dimensions of a type code: bits 1 and 2 are M and Z, the flags' own or what a plain code's thousands stand for."""
+    thousands = f"if({code} between 1000 and 3999, element_at(array(2L, 1L, 3L), cast({code} div 1000 as int)), 0L)"
+    return f"if(({code} & {FLAGS}L) != 0, shiftright({code}, 30) & 3, {thousands})"
 
 
 def _checked(wkb: str, named: str) -> str:
@@ -93,7 +99,7 @@ def _type_code(wkb: str) -> str:
 
 
 def geometry_type_sql(wkb: str) -> str:
-    return _checked(wkb, _bound(_type_code(wkb), "code", _bound(f"struct({_BASE} as base, {_DIMS} as dims)", "t", _type_name("t.base", "t.dims"))))
+    return _checked(wkb, _bound(_type_code(wkb), "code", _bound(f"struct({_base('code')} as base, {_dims('code')} as dims)", "t", _type_name("t.base", "t.dims"))))
 
 
 def geometry_type_hex_sql(text: str) -> str:
@@ -117,11 +123,27 @@ def geometry_type(wkb: str) -> Column:
 
 def with_geometry_type(df: DataFrame, column: str, out: str = "geom_type") -> DataFrame:
     """df with the type's name of a binary column in ``out``: the same as geometry_type, in steps that are all generated code."""
-    wkb, code, base, dims = f"`{column}`", "_wkb_code", "_wkb_base", "_wkb_dims"
     own = [f"`{c}`" for c in df.columns if c != out]
-    steps = df.selectExpr("*", f"{_type_code(wkb)} as {code}")
-    steps = steps.selectExpr("*", *(f"{sql.replace('code', code)} as {name}" for sql, name in ((_BASE, base), (_DIMS, dims))))
-    return steps.selectExpr(*own, f"{_checked(wkb, _type_name(base, dims))} as `{out}`")
+    return _stepwise(df, f"`{column}`").selectExpr(*own, f"{_checked(f'`{column}`', _type_name(*_helpers(df)[1:]))} as `{out}`")
+
+
+def _helpers(df: DataFrame) -> list[str]:
+    return [unused(df.columns, name) for name in ("wkb_code", "wkb_base", "wkb_dims")]
+
+
+def _stepwise(df: DataFrame, wkb: str) -> DataFrame:
+    """df with the code, the base type and the dimensions of a binary column in helper columns."""
+    code, base, dims = _helpers(df)
+    return df.selectExpr("*", f"{_type_code(wkb)} as {code}").selectExpr("*", f"{_base(code)} as {base}", f"{_dims(code)} as {dims}")
+
+
+def with_geometry_type_hex(df: DataFrame, column: str, out: str = "geom_type") -> DataFrame:
+    """The same for a column of hex text: the same as geometry_type_hex, in steps that are all generated code."""
+    text, wkb = f"`{column}`", unused(df.columns, "wkb_bytes")
+    own = [f"`{c}`" for c in df.columns if c != out]
+    bytes_ = df.selectExpr("*", f"if(rlike({text}, '{_HEX_TEXT}'), unhex(regexp_replace({text}, '\\\\s', '')), null) as {wkb}")
+    named = f"case when octet_length({wkb}) < 5 then '{TOO_SHORT}' else {_type_name(*_helpers(bytes_)[1:])} end"
+    return _stepwise(bytes_, wkb).selectExpr(*own, f"case when {text} is null then '{NULL_INPUT}' when {wkb} is null then '{NOT_HEX}' else {named} end as `{out}`")
 
 
 def geometry_type_hex(text: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -83,44 +84,25 @@ def column_properties(catalog: Catalog) -> DataFrame:
     return each.groupBy(*TABLE_KEYS).agg(entries.cast(COLUMN_PROPERTIES).alias("column_properties"))
 
 
-def _text(value: str) -> Column:
-    return F.lit(value)
+FACT = "ord int, for_field string, reason string, column string"
+_FACT_TYPE = "struct<" + FACT.replace(" ", ": ").replace(",:", ",") + ">"
+_LISTED = "map<string, array<struct<id: string, label: string>>>"
 
 
-def _place() -> Column:
-    return F.concat_ws(".", *(F.coalesce(F.col(c), F.lit("None")) for c in IDENTITY))
+def _fact(name: str, order: int, reason: Column, column: Column) -> Column:
+    """What is wrong with one field, as a struct like FACT."""
+    return F.struct(F.lit(order).alias("ord"), F.lit(name).alias("for_field"), reason.alias("reason"), column.alias("column"))
 
 
-def _error(name: str, order: int, values: list[tuple] | None) -> Column:
-    """The error of one field, as a struct like ERROR."""
-    reason = F.when(F.col(name).isNull(), "missing").otherwise("invalid")
-    said = F.concat(_text(f"Field '{name}' is "), reason, _text(f"; type <{TYPE_LABELS[name]}>"))
-    if values:
-        said = F.concat(said, _text("; one of the listed values"))
-    if name == COMMENT_FIELD:
-        fix = F.concat(_text("COMMENT ON TABLE "), _place(), _text(f" IS '<{name.upper()}>'"))
-    else:
-        fix = F.concat(_text("ALTER TABLE "), _place(), _text(f" SET TAGS ('{name}' = '<{name.upper()}>')"))
-    kind = "array<struct<id: string, label: string>>"
-    listed = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(label).alias("label")) for i, label, *_ in values)).cast(kind) if values else F.lit(None).cast(kind)
-    fields = {"ord": F.lit(order), "for_field": F.lit(name), "reason": reason, "column": F.lit(None).cast("string"), "description": said, "solution": fix, "valid_values": listed}
-    return F.struct(*(c.alias(k) for k, c in fields.items()))
+def _field_fact(name: str, order: int) -> Column:
+    return _fact(name, order, F.when(F.col(name).isNull(), "missing").otherwise("invalid"), F.lit(None).cast("string"))
 
 
-def _encoding_errors(order: int) -> Column:
-    """An error for each column with an epsg code whose encoding, in any case, isn't a known one (or is absent)."""
-    kind = "array<struct<id: string, label: string>>"
-    listed = F.array(*(F.struct(F.lit(e).alias("id"), F.lit(e).alias("label")) for e in ENCODINGS)).cast(kind)
+def _encoding_facts(order: int) -> Column:
+    """A fact for each column with an epsg code whose encoding, in any case, isn't a known one (or is absent)."""
     entries = F.coalesce(F.map_entries("column_properties"), F.expr(f"cast(array() as array<struct<key: string, value: struct<epsg: string, {ENCODING}: string>>>)"))
     bad = F.filter(entries, lambda e: e["value"]["epsg"].isNotNull() & ~F.lower(F.coalesce(e["value"][ENCODING], F.lit(""))).isin(ENCODINGS))
-
-    def error(e: Column) -> Column:
-        fix = F.concat(_text("ALTER TABLE "), _place(), _text(" SET TBLPROPERTIES ('columns."), e["key"], _text(f".{ENCODING}' = '<{ENCODING.upper()}>')"))
-        said = F.concat(_text(f"Field '{ENCODING}' is missing for column "), e["key"], _text(f"; type <{TYPE_LABELS[ENCODING]}>; one of the listed values"))
-        fields = {"ord": F.lit(order), "for_field": F.lit(ENCODING), "reason": F.lit("missing"), "column": e["key"], "description": said, "solution": fix, "valid_values": listed}
-        return F.struct(*(c.alias(k) for k, c in fields.items()))
-
-    return F.transform(bad, error)
+    return F.transform(bad, lambda e: _fact(ENCODING, order, F.lit("missing"), e["key"]))
 
 
 def _passes(name: str, codelists: Codelists) -> Column:
@@ -131,41 +113,52 @@ def _passes(name: str, codelists: Codelists) -> Column:
     return F.col(name).isNotNull()
 
 
+def _worded(facts: DataFrame, codelists: Codelists) -> DataFrame:
+    """IDENTITY and ERROR of rows of IDENTITY and FACT. Codelists are one literal, whatever the number of rules."""
+    listed = {name: [{"id": r[0], "label": r[1]} for r in codelists.rows(name)] for name in (*CODED, GATE)} | {ENCODING: [{"id": e, "label": e} for e in ENCODINGS]}
+    values = F.from_json(F.lit(json.dumps({k: v for k, v in listed.items() if v})), _LISTED)
+    labels = F.create_map(*(F.lit(x) for pair in TYPE_LABELS.items() for x in pair))
+    field, place = F.col("for_field"), F.concat_ws(".", *(F.coalesce(F.col(c), F.lit("None")) for c in IDENTITY))
+    wanted = F.concat(F.lit("'<"), F.upper(field), F.lit(">'"))
+    comment = F.concat(F.lit("COMMENT ON TABLE "), place, F.lit(" IS "), wanted)
+    tag = F.concat(F.lit("ALTER TABLE "), place, F.lit(" SET TAGS ('"), field, F.lit("' = "), wanted, F.lit(")"))
+    property_ = F.concat(F.lit("ALTER TABLE "), place, F.lit(" SET TBLPROPERTIES ('columns."), F.col("column"), F.lit("."), field, F.lit("' = "), wanted, F.lit(")"))
+    of_column = F.when(F.col("column").isNotNull(), F.concat(F.lit(" for column "), F.col("column"))).otherwise("")
+    of_list = F.when(F.col("valid_values").isNotNull(), "; one of the listed values").otherwise("")
+    said = F.concat(F.lit("Field '"), field, F.lit("' is "), F.col("reason"), of_column, F.lit("; type <"), F.try_element_at(labels, field), F.lit(">"), of_list)
+    fix = F.when(field == COMMENT_FIELD, comment).when(F.col("column").isNotNull(), property_).otherwise(tag)
+    rows = facts.withColumn("valid_values", F.try_element_at(values, field))
+    return rows.select(*IDENTITY, "ord", "for_field", "reason", "column", said.alias("description"), fix.alias("solution"), "valid_values")
+
+
 def validate(records: DataFrame, codelists: Codelists) -> DataFrame:
     """IDENTITY and ERROR: a row for each rule that a table's record breaks, ``ord`` in the order of its tier's rules.
 
-    A record whose tier isn't one of the three gets that one error (ord 0) only. One projection: no join and no shuffle;
-    codelists are bounded literals.
+    A record whose tier isn't one of the three gets that one error (ord 0) only. Two projections: no join and no shuffle.
     """
-    gate = F.array(_error(GATE, 0, codelists.rows(GATE)))
-    by_tier = []
+    none = F.expr(f"cast(array() as array<{_FACT_TYPE}>)")
+    facts = F.when(F.col(GATE).isNull() | ~F.col(GATE).isin(TIERS), F.array(_field_fact(GATE, 0)))
     for tier, names in TIER_RULES.items():
-        checks = []
-        for k, name in enumerate(names, 1):
-            if name == ENCODING:
-                checks.append(_encoding_errors(k))
-            else:
-                values = codelists.rows(name) if name in CODED else None
-                checks.append(F.when(_passes(name, codelists), F.array().cast(f"array<struct<{_struct_ddl()}>>")).otherwise(F.array(_error(name, k, values))))
-        by_tier.append((tier, F.concat(*checks)))
-    errors = F.when(F.col(GATE).isNull() | ~F.col(GATE).isin(TIERS), gate)
-    for tier, found in by_tier:
-        errors = errors.when(F.col(GATE) == tier, found)
-    return records.select(*IDENTITY, F.explode(errors).alias("e")).select(*IDENTITY, "e.*")
+        checks = [_encoding_facts(k) if name == ENCODING else F.when(_passes(name, codelists), none).otherwise(F.array(_field_fact(name, k))) for k, name in enumerate(names, 1)]
+        facts = facts.when(F.col(GATE) == tier, F.concat(*checks))
+    return _worded(records.select(*IDENTITY, F.explode(facts).alias("fact")).select(*IDENTITY, "fact.*"), codelists)
 
 
-def _struct_ddl() -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (part.split(" ", 1) for part in ERROR.split(", ", 6)))
+def missing_tables(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """IDENTITY and ERROR: an error (ord 0, for the field "table") for each of the tables wanted (IDENTITY) that has no record."""
+    lost = wanted.select(*IDENTITY).distinct().join(records.select(*IDENTITY), IDENTITY, "left_anti")
+    place = F.concat_ws(".", *(F.coalesce(F.col(c), F.lit("None")) for c in IDENTITY))
+    nothing = [F.lit(None).cast("string").alias("column"), F.concat(F.lit("Table "), place, F.lit(" is missing from the catalogue")).alias("description")]
+    fix = [F.concat(F.lit("CREATE TABLE "), place).alias("solution"), F.lit(None).cast("array<struct<id: string, label: string>>").alias("valid_values")]
+    return lost.select(*IDENTITY, F.lit(0).alias("ord"), F.lit("table").alias("for_field"), F.lit("missing").alias("reason"), *nothing, *fix)
 
 
 def mandatory_fields(codelists: Codelists, tier: str, properties: dict[str, dict] | None = None) -> DataFrame:
     """The first error of each field that an empty record of this tier has. An unknown tier is a KeyError."""
-    if tier not in TIER_RULES:
-        raise KeyError(tier)
-    row = TableMetadata(medaljongnivaa=tier, column_properties=properties or {})
-    errors = validate(row.frame(codelists.spark), codelists)
-    first = errors.groupBy("for_field").agg(F.min_by(F.struct(*[c for c in errors.columns if c != "for_field"]), F.struct("ord", "column")).alias("e"))
-    return first.select("for_field", "e.*")
+    bad = sorted(c for c, v in (properties or {}).items() if v.get("epsg") is not None and str(v.get(ENCODING) or "").lower() not in ENCODINGS)
+    rows = [(None, None, None, k, name, "missing", bad[0] if name == ENCODING else None) for k, name in enumerate(TIER_RULES[tier], 1) if name != ENCODING or bad]
+    facts = codelists.spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in IDENTITY) + f", {FACT}")
+    return _worded(facts, codelists).drop(*IDENTITY)
 
 
 @dataclass
@@ -210,4 +203,7 @@ class Metadata:
         return column_metadata(self._own())
 
     def validate(self, with_columns: bool = False) -> DataFrame:
-        return validate(self.get_table_metadata(with_columns), self.codelists)
+        """Its errors; a table that isn't there is an error too."""
+        records = self.get_table_metadata(with_columns)
+        wanted = records.sparkSession.createDataFrame([(self.catalog, self.schema, self.table)], ", ".join(f"`{c}` string" for c in IDENTITY))
+        return validate(records, self.codelists).unionByName(missing_tables(wanted, records))

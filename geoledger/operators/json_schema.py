@@ -24,7 +24,7 @@ def http_resolver(url: str) -> dict:
     """Fetches an external schema. Opt-in."""
     with urllib.request.urlopen(url, timeout=30) as answer:
         if answer.status != 200:
-            raise ValueError(f"Unable to fetch external resource {url}")
+            raise ValueError(f"{url} answered {answer.status} instead of a schema")
         return json.load(answer)
 
 
@@ -35,14 +35,18 @@ class Contract:
     enforce_required_field=False every field of an object that has a ``required`` list is non-nullable; and a local
     reference's nullability comes from its target's own list. strict=True makes nothing non-nullable when requirements
     aren't enforced, and takes a reference's nullability from the object that refers.
+
+    circular_references has no effect but for the entry "#", the document itself, which makes every field that is neither
+    a constant nor a reference a string.
     """
 
     def __init__(self, document: dict, enforce_required_field: bool = True, default_type: str = "string", defs_location: str = "$def",
-                 external_ref_base_uri: str = "", resolver: Resolver | None = None, strict: bool = False):
+                 external_ref_base_uri: str = "", circular_references: list[str] | None = None, resolver: Resolver | None = None, strict: bool = False):
         self._root, self._enforce, self._strict = document, enforce_required_field, strict
         self._default = ATOMIC.get(default_type, T.StringType())
         self._base, self._resolver, self._fetched = external_ref_base_uri, resolver, {}
         self._open: list[str] = []
+        self._flat = "#" in (circular_references or [])
         del defs_location  # accepted and without effect
 
     def schema(self) -> T.StructType:
@@ -70,7 +74,7 @@ class Contract:
 
     def _type(self, node: dict, path: str) -> T.DataType:
         kind = node.get("type")
-        if "enum" in node:
+        if "enum" in node or self._flat:
             return T.StringType()
         if isinstance(kind, str) and kind in NAMED:
             return ATOMIC[kind]
@@ -103,7 +107,7 @@ class Contract:
                 if self._resolver is None:
                     raise ValueError(f"no resolver for the external reference {url}")
                 self._fetched[url] = self._resolver(url)
-            return self._field(name, self._walk(self._fetched[url], fragment), None, f"{path}/file/{ref}")
+            return self._field(name, self._walk(self._fetched[url], fragment), None, f"{path}/file/{full}")
         finally:
             self._open.pop()
 
@@ -126,27 +130,33 @@ def fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, str, bool,
     return out
 
 
-def _lacks(name: str):
-    """For array elements: whether one lacks this field."""
-    return lambda e: e.isNotNull() & e[name].isNull()
+Check = Callable[[Column], Column]
 
 
-def _missing(value: Column, kind: T.DataType, name: str, nullable: bool) -> list[tuple[str, Column]]:
-    """(path, condition) of every required field at or below a value, elements of arrays of structs included."""
-    out = [] if nullable else [(name, value.isNull())]
+def _checks(kind: T.DataType, name: str) -> list[tuple[str, Check]]:
+    """(path, condition on a value of this type that isn't null) of every required field below it, at any depth."""
     if isinstance(kind, T.StructType):
-        for f in kind:
-            out += [(n, value.isNotNull() & c) for n, c in _missing(value[f.name], f.dataType, f"{name}.{f.name}", f.nullable)]
-    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        for f in kind.elementType:
-            if not f.nullable:
-                out.append((f"{name}[].{f.name}", F.coalesce(F.exists(value, _lacks(f.name)), F.lit(False))))
-    return out
+        return [found for f in kind for found in _field_checks(f.name, f.dataType, f.nullable, f"{name}.{f.name}")]
+    if not isinstance(kind, T.ArrayType):
+        return []
+    inside = _checks(kind.elementType, f"{name}[]")
+    every = [(path, lambda v, c=c: F.exists(v, lambda e: e.isNotNull() & c(e))) for path, c in inside]
+    return every if kind.containsNull else [(f"{name}[]", lambda v: F.exists(v, lambda e: e.isNull())), *every]
+
+
+def _field_checks(field: str, kind: T.DataType, nullable: bool, path: str) -> list[tuple[str, Check]]:
+    """The same for one field of a struct."""
+    own = [] if nullable else [(path, lambda v: v[field].isNull())]
+    return own + [(p, lambda v, c=c: v[field].isNotNull() & c(v[field])) for p, c in _checks(kind, path)]
 
 
 def contract_violations(df: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
     """keys and ``violation``: a row for each required field that a row lacks. Readers make every field nullable, so this is where requirements hold."""
-    checks = [c for f in schema for c in _missing(F.col(f"`{f.name}`"), f.dataType, f.name, f.nullable)]
+    checks = []
+    for f in schema:
+        value = F.col(f"`{f.name}`")
+        checks += [] if f.nullable else [(f.name, value.isNull())]
+        checks += [(path, value.isNotNull() & c(value)) for path, c in _checks(f.dataType, f.name)]
     none = F.array().cast("array<string>")
     found = reduce(F.concat, [F.when(c, F.array(F.lit(n))).otherwise(none) for n, c in checks], none)
-    return df.select(*keys, F.explode(found).alias("violation"))
+    return df.select(*(F.col(f"`{k}`") for k in keys), F.explode(found).alias("violation"))

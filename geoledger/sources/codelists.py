@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoledger.names import unused
+
 SCHEMA = "codelist string, id string, label string, codevalue string"
 TIERS = ["bronze", "silver", "gold"]
 # Ids, labels and code values of the local codelists, and the addresses of the remote ones.
@@ -79,6 +81,7 @@ class Codelists:
 
 def lookup(values: DataFrame, column: str, codelist: DataFrame, out: str = "known") -> DataFrame:
     """values with ``out``: whether the value is the id of an entry. Null is not; compare is exact, by id, not by label."""
-    ids = codelist.where("id is not null").select(F.col("id").alias("_id"), F.lit(True).alias("_known")).distinct()
-    joined = values.join(ids, F.col(column) == F.col("_id"), "left")
-    return joined.withColumn(out, F.coalesce("_known", F.lit(False))).drop("_id", "_known")
+    entry, own = unused(values.columns, "entry_id"), [f"`{c}`" for c in values.columns if c != out]
+    ids = codelist.where("id is not null").select(F.col("id").alias(entry)).distinct()
+    joined = values.join(ids, F.col(f"`{column}`") == F.col(entry), "left")
+    return joined.selectExpr(*own, f"{entry} is not null as `{out}`")

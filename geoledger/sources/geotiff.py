@@ -1,9 +1,10 @@
-"""A small GeoTIFF reader: band 1 of uncompressed or deflated strips and tiles, and where its cells lie."""
+"""A small GeoTIFF reader: band 1 of strips and tiles, plain or packed by deflate, LZW or byte runs, and where its cells lie."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,54 @@ def _tags(data: bytes, order: str) -> dict[int, tuple]:
     return found
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first: 256 clears the table, 257 ends."""
+    out, table, width, last = bytearray(), [], 9, b""
+    bits, held = 0, 0
+    for byte in data:
+        bits, held = (bits << 8 | byte) & 0xFFFFFF, held + 8
+        if held < width:
+            continue
+        held -= width
+        code = bits >> held & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif code == len(table) and last:
+            entry = last + last[:1]
+        else:
+            raise ValueError("broken LZW data")
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        if len(table) + 1 >= 1 << width and width < 12:
+            width += 1
+    return bytes(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """Runs: a count below 128 is followed by so many bytes and one more, one above by a byte to repeat; 128 is nothing."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: The format's numbers of compressions.
+_UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32773: unpack_bits, 32946: zlib.decompress}
+
+
 def read(data: bytes) -> Raster:
     """Raises ValueError or struct.error for what isn't such a file."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -48,8 +97,8 @@ def read(data: bytes) -> Raster:
     kind = {1: "u", 2: "i", 3: "f"}[tags.get(SAMPLE_FORMAT, (1,))[0]]
     dtype = np.dtype(f"{order}{kind}{tags[BITS][0] // 8}")
     packed, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
-    if packed not in (1, 8, 32946) or predictor not in (1, 2):
-        raise ValueError("compression")
+    if packed not in _UNPACK or predictor not in (1, 2):
+        raise ValueError(f"compression {packed}, predictor {predictor}")
     planar = tags.get(PLANAR, (1,))[0] == 2
     depth = 1 if planar else samples
     tiled = TILE_OFFSETS in tags
@@ -59,7 +108,7 @@ def read(data: bytes) -> Raster:
     across = -(-width // bw)
     for k in range(across * -(-height // bh)):  # band 1's blocks come first
         raw = data[offsets[k] : offsets[k] + counts[k]]
-        raw = zlib.decompress(raw) if packed != 1 else raw
+        raw = _UNPACK[packed](raw)
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, height - y)
         block = np.frombuffer(raw, dtype, rows * bw * depth).reshape(rows, bw, depth)
@@ -77,16 +126,17 @@ def read(data: bytes) -> Raster:
     return Raster(values, affine)
 
 
-def write(values: np.ndarray, affine: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0), deflate: bool = False) -> bytes:
-    """A one-strip float64 GeoTIFF (for tests and exports); affine: x and y of the upper left corner, cell width and height."""
+def write(values: np.ndarray, affine: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0), deflate: bool = False, pack: tuple[int, Callable[[bytes], bytes]] | None = None) -> bytes:
+    """A one-strip float64 GeoTIFF (for tests and exports); affine: x and y of the upper left corner, cell width and height. pack: a compression's number and function."""
     body = values.astype("<f8").tobytes()
-    body = zlib.compress(body) if deflate else body
+    number, packer = pack or ((8, zlib.compress) if deflate else (1, bytes))
+    body = packer(body)
     x, y, sx, sy = affine
     height, width = values.shape
     extra = struct.pack("<3d", sx, sy, 0.0) + struct.pack("<6d", 0, 0, 0, x, y, 0)
     at = 8 + len(extra)
     rows = [
-        (WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 64), (COMPRESSION, 3, 1, 8 if deflate else 1), (STRIP_OFFSETS, 4, 1, at),
+        (WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 64), (COMPRESSION, 3, 1, number), (STRIP_OFFSETS, 4, 1, at),
         (SAMPLES, 3, 1, 1), (ROWS_PER_STRIP, 4, 1, height), (STRIP_COUNTS, 4, 1, len(body)), (SAMPLE_FORMAT, 3, 1, 3),
         (PIXEL_SCALE, 12, 3, 8), (TIE_POINTS, 12, 6, 32),
     ]

@@ -68,6 +68,17 @@ class Target:
         return cls(host=getter(scope, host_key), password=getter(scope, password_key), **rest)
 
 
+def requires_local_files(setting: str, isolating: tuple[str, ...] = ("USER_ISOLATION",)) -> Callable[[SparkSession], None]:
+    """A preflight: RuntimeError if the session's ``setting`` names an access mode that keeps certificate files out of reach."""
+
+    def check(spark: SparkSession) -> None:
+        mode = spark.conf.get(setting, "").upper()
+        if mode in isolating:
+            raise RuntimeError(f"{setting} is {mode}, where code can't read the certificate files; run it where local files can be read")
+
+    return check
+
+
 def jvm_executor(spark: SparkSession, target: Target) -> Callable[[list[str]], int]:
     """Runs statements in one transaction over the session's JVM; returns how many rows the last one changed."""
 
@@ -97,8 +108,9 @@ def jvm_executor(spark: SparkSession, target: Target) -> Callable[[list[str]], i
 class SyncManager:
     """Brings a DataFrame to a target table."""
 
-    def __init__(self, target: Target, spark: SparkSession, execute: Callable[[list[str]], int] | None = None):
-        self.target, self.spark = target, spark
+    def __init__(self, target: Target, spark: SparkSession, execute: Callable[[list[str]], int] | None = None, preflight: Callable[[SparkSession], None] | None = None):
+        """preflight is called before every delivery and raises if it must not run here."""
+        self.target, self.spark, self._preflight = target, spark, preflight
         self._execute = execute or jvm_executor(spark, target)
 
     def write_staging(self, df: DataFrame) -> None:
@@ -112,11 +124,19 @@ class SyncManager:
             raise ValueError(f"unknown mode {mode!r}")
         if mode == "merge" and not merge_keys:
             raise ValueError("a merge needs keys")
-        if mode == "merge" and not duplicate_keys(df, merge_keys).isEmpty():
-            raise ValueError("the feed has a key more than once")
-        self.write_staging(df)
+        if self._preflight:
+            self._preflight(self.spark)
+        if mode == "merge":
+            df = df.persist()  # the check and the delivery run the feed's plan once
+        try:
+            if mode == "merge" and not duplicate_keys(df, merge_keys).isEmpty():
+                raise ValueError("the feed has a key more than once")
+            self.write_staging(df)
+        finally:
+            if mode == "merge":
+                df.unpersist()
         text = Delivery(self.target.staging_table, self.target.target_table, self.target.update_type_col, self.target.srid, geometry_cols or [])
         return self._execute(text.snapshot(df.columns) if mode == "snapshot" else [text.merge(df.columns, merge_keys)])
 
 
-__all__ = ["DELETE", "MODES", "SslConfig", "SyncManager", "Target", "jvm_executor"]
+__all__ = ["DELETE", "MODES", "SslConfig", "SyncManager", "Target", "jvm_executor", "requires_local_files"]

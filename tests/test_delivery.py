@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from geoledger.plans.merge import duplicate_keys, plan_merge, plan_snapshot
+from geoledger.plans.merge import duplicate_keys, merge_into, plan_merge, plan_snapshot
 from geoledger.plans.sql_text import Delivery
-from geoledger.sources.jdbc import CERTIFICATES, SslConfig, SyncManager, Target
-from geoledger.streaming.merge import merge_stream
+from geoledger.sources.jdbc import CERTIFICATES, SslConfig, SyncManager, Target, requires_local_files
+from geoledger.streaming import merge
 
 TARGET = [(1, "a"), (2, "b"), (3, "c"), (None, "n")]
 FEED = [(1, "A", "delete"), (2, "B", "update"), (3, "C", None), (8, "h", "delete"), (9, "i", "insert"), (10, "j", None), (None, "m", "update")]
@@ -104,11 +104,68 @@ def test_arguments_are_checked_before_writing(spark, derby):
             manager.sync(feed, mode, keys)
 
 
+def test_repeated_keys_are_an_error(spark, tables):
+    target, feed = tables
+    with pytest.raises(Exception, match="more than once"):
+        plan_merge(target, feed.union(feed.where("k = 2")), ["k"]).collect()
+    nulls = feed.where("k is null")
+    assert plan_merge(target, nulls.union(nulls), ["k"]).count() == 6  # null keys never match, so they never repeat
+
+
+def test_merge_plan_leaves_null_keys_and_the_target_apart(spark, tables):
+    """No full outer join; a small feed is broadcast, so the target isn't shuffled by key."""
+    spark.range(20_000).selectExpr("cast(if(id % 2 = 0, null, id) as int) as k", "cast(id as string) as x").createOrReplaceTempView("wide_target")
+    feed = spark.range(9_000).selectExpr("cast(if(id % 3 > 0, null, id) as int) as k", "'new' as x", "'update' as update_type")
+    out = plan_merge(spark.table("wide_target"), feed, ["k"])
+    assert out.count() == 10_000 + 10_000 + 6_000 + 1_500 and out.where("k is null").count() == 16_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_merge_into_reaches_the_table(spark, tables):
+    spark.sql("drop table if exists plain_target")
+    tables[0].write.saveAsTable("plain_target")
+    with pytest.raises(Exception, match="(?i)merge"):  # the session's own tables take no row-level changes
+        merge_into(tables[1], "plain_target", ["k"])
+    with pytest.raises(ValueError):
+        merge_into(tables[1], "plain_target", [])
+    spark.sql("drop table plain_target")
+
+
+def test_preflight(spark, derby):
+    manager, _ = derby
+    manager._preflight = requires_local_files("spark.geoledger.access")
+    manager.write_staging = lambda df: pytest.fail("it wrote")
+    spark.conf.set("spark.geoledger.access", "user_isolation")
+    with pytest.raises(RuntimeError, match="spark.geoledger.access"):
+        manager.sync(spark.range(1))
+    spark.conf.unset("spark.geoledger.access")
+    requires_local_files("spark.geoledger.access")(spark)
+
+
 def test_a_change_stream(spark, tmp_path):
     path, changes = str(tmp_path / "target"), str(tmp_path / "changes")
-    spark.createDataFrame(TARGET, "k int, x string").write.parquet(f"{path}/version=0")
+    target = merge.Target(spark, path, ["k"], buckets=8, retain=2)
+    target.create(spark.createDataFrame(TARGET, "k int, x string"))
     schema = "k int, x string, update_type string, at int"
-    spark.createDataFrame([(*r, 1) for r in FEED] + [(2, "late", "update", 2)], schema).coalesce(1).write.parquet(changes)
-    query = merge_stream(spark.readStream.schema(schema).parquet(changes), path, ["k"], "at").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert rows(spark.read.parquet(f"{path}/version=1")) == sorted([(2, "late"), *MERGED[1:]], key=str)
+    batches = [[(*r, 1) for r in FEED] + [(2, "late", "update", 2)], [(9, "j", "update", 1)], [(9, None, "delete", 2), (3, "C", "update", 2)]]
+    check = str(tmp_path / "check")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(changes)
+        query = merge.merge_stream(spark.readStream.schema(schema).parquet(changes), target, ["k"], "at").option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert target.versions() == [2, 3]
+    last = [(2, "late"), (3, "C"), (None, "m"), (None, "n")]
+    assert rows(target.read()) == sorted(last, key=str) and rows(target.read(2)) == sorted([(2, "late"), (3, "c"), (9, "j"), (None, "m"), (None, "n")], key=str)
+    written = [p for p in (tmp_path / "target" / "data" / "version=3").iterdir() if p.name.startswith("bucket=")]
+    assert len(written) <= 2  # only the buckets of keys 9 and 3
+    held = target._manifest(3)
+    target.merge(spark.createDataFrame([(9, None, "delete"), (3, "C", "update")], "k int, x string, update_type string"), 2)  # a batch that runs again
+    assert target._manifest(3) == held and rows(target.read()) == sorted(last, key=str)
+
+
+def test_a_stream_target_that_becomes_empty(spark, tmp_path):
+    target = merge.Target(spark, str(tmp_path / "t"), ["k"], buckets=2)
+    target.create(spark.createDataFrame([(1, "a")], "k int, x string"))
+    target.merge(spark.createDataFrame([(1, None, "delete")], "k int, x string, update_type string"), 0)
+    assert target.read().count() == 0 and target.read(0).count() == 1

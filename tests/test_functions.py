@@ -173,3 +173,62 @@ def test_relational_segments_equal_marching_squares(spark):
         moved = [(round(x - 0.5, 9), round(y - 0.5, 9)) for x, y in points]
         want |= {tuple(sorted(pair)) for pair in zip(moved, moved[1:])}
     assert got == want and got
+
+
+def test_type_names_beside_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(bytes.fromhex("0101000080" + "00" * 24), "01e9030000", 7, 8, 9)], "w binary, h string, wkb_code int, WKB_BASE int, wkb_bytes int")
+    got = wkb.with_geometry_type_hex(wkb.with_geometry_type(rows, "w", "a"), "h", "b")
+    assert got.columns == [*rows.columns, "a", "b"] and tuple(got.first())[2:] == (7, 8, 9, "Point Z", "Point Z")
+
+
+def test_plain_geometries_stay_out_of_python(spark):
+    """Points and lines that are linear as they are come back as they are; what isn't whole becomes null either way."""
+    good = [struct.pack("<BI2d", 1, 1, 1, 2), struct.pack("<BI3d", 1, 2001, 1, 2, 3), struct.pack("<BII8d", 1, 3002, 2, *range(8)), struct.pack("<BII", 1, 2, 0)]
+    values = [*good, good[0][:-1], good[0] + b"x", good[2][:-8], struct.pack("<BI", 1, 2), struct.pack(">BI2d", 0, 1, 1, 2), line(8, [(0, 0), (1, 1), (2, 0)]), None, b"", b"\x01"]
+    rows = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in enumerate(values)], "k int, w binary")
+    got = {r["k"]: r["linear"] and bytes(r["linear"]) for r in curves.linearized(rows, "w").collect()}
+    assert got == {k: curves.linearize(v) for k, v in enumerate(values)} and [got[k] for k in range(4)] == good
+    sent = rows.selectExpr("w", f"{curves._plain_sql('w')} as plain")
+    assert [r["plain"] for r in sent.collect()] == [True] * 4 + [False] * 9
+
+
+def pack_lzw(data):
+    """Codes of growing width, most significant bit first, as the format wants them."""
+    table, out, bits, n = {}, 0, 0, 9
+
+    def put(code):
+        nonlocal out, bits
+        out, bits = out << n | code, bits + n
+
+    put(256)
+    table, held = {bytes([k]): k for k in range(256)}, b""
+    free = 258
+    for k in range(len(data)):
+        one = data[k : k + 1]
+        if held + one in table:
+            held += one
+            continue
+        put(table[held])
+        table[held + one] = free
+        free, held = free + 1, one
+        if free >= 1 << n and n < 12:
+            n += 1
+        if free == 4094:
+            put(256)
+            table, free, n = {bytes([k]): k for k in range(256)}, 258, 9
+    if held:
+        put(table[held])
+    put(257)
+    pad = -bits % 8
+    return (out << pad).to_bytes((bits + pad) // 8, "big")
+
+
+def test_packed_strips():
+    rng = np.random.default_rng(1)
+    for size, letters in ((0, 2), (1, 2), (300, 2), (5_000, 256), (40_000, 3)):
+        data = rng.integers(0, letters, size).astype("u1").tobytes()
+        assert geotiff.unpack_lzw(pack_lzw(data)) == data
+    assert geotiff.unpack_bits(bytes([2, 7, 8, 9, 254, 5, 128, 0, 1])) == bytes([7, 8, 9, 5, 5, 5, 1])
+    values = np.arange(20.0).reshape(4, 5)
+    for number, pack in ((5, pack_lzw), (32773, lambda d: b"".join(bytes([0, b]) for b in d))):
+        assert (geotiff.read(geotiff.write(values, pack=(number, pack))).values == values).all()
