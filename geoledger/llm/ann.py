@@ -45,6 +45,8 @@ SLACK, UPPER_LEAST = 1.05, 8
 ROUNDING = 1e-6
 #: Rows that meet one copy of a node's centroids; rows of one sublist, and products of rows and queries in it.
 ROUTE_ROWS, SUBLIST_ROWS, SUBLIST_WORK = 16_384, 4_096, 1 << 28
+#: Rows of answers that a task holds at most.
+HELD_ROWS = 1 << 20
 _BATCH = 256
 
 
@@ -325,6 +327,40 @@ class Index:
         return every
 
 
+class _Best:
+    """The ``most`` nearest of each query among what a task has met so far, flushed when they are many."""
+
+    def __init__(self, most: int):
+        self._most, self._parts, self._rows = most, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Columns quid, uid, near, least."""
+        self._parts.append(columns)
+        self._rows += len(columns[0])
+        if self._rows > HELD_ROWS:
+            self._compact()
+            if self._rows > HELD_ROWS // 2:
+                yield from self.flush()
+
+    def _compact(self) -> None:
+        if not self._parts:
+            return
+        quid, uid, near, least = (np.concatenate(c) for c in zip(*self._parts))
+        order = np.lexsort((uid, least, -near, quid))
+        quid, uid, near, least = quid[order], uid[order], near[order], least[order]
+        other = np.concatenate(([True], (quid[1:] != quid[:-1]) | (uid[1:] != uid[:-1])))
+        quid, uid, near, least = quid[other], uid[other], near[other], least[other]
+        keep = np.arange(len(quid)) - np.searchsorted(quid, quid) < self._most
+        self._parts = [(quid[keep], uid[keep], near[keep], least[keep])]
+        self._rows = int(keep.sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self._compact()
+        for columns in self._parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["quid", "uid", "near", "least"])
+        self._parts, self._rows = [], 0
+
+
 class Search:
     """The k nearest of every usable row that ``is_query`` (SQL over vec_id) holds for, step by step."""
 
@@ -354,7 +390,7 @@ class Search:
         return read / max(1, asked * self.entries.count())
 
     def _met(self) -> DataFrame:
-        """(quid, uid, near, least): the k + 1 nearest of each query in each sublist (itself may be there); what differs by rounding only is a tie."""
+        """(quid, uid, near, least): the nearest of each query in each task's sublists, k + 2 at least if there are (itself may be there); what differs by rounding only is a tie."""
         k, vectors = self.k, self.entries.select("uid", "v", F.col("ids")[0].alias("least"))
         asking = self.probes.groupBy("node").agg(F.count("*").alias("queries"))
         deal = self._sizes().join(asking, "node")
@@ -363,7 +399,7 @@ class Search:
         streamed = self.probes.join(deal, "node").select("node", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), "uid").join(vectors.drop("least"), "uid")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, parts, ids, least, x = None, [], None, None, None
+            last, parts, ids, least, x, met = None, [], None, None, None, _Best(k + 2)
             for key, kind, part in _stretches(batches):
                 if key != last:
                     last, parts, ids = key, [], None
@@ -377,12 +413,13 @@ class Search:
                     order = np.argsort(least, kind="stable")
                     ids, least, x = ids[order], least[order], x[order]
                 quids, q = part.column(3).to_numpy(), unit(_matrix(part.column(4), _length(key[0])))
-                most = min(k + 1, len(ids))
+                most = min(k + 2, len(ids))
                 for at in range(0, len(q), _BATCH):
                     alike = np.round(q[at : at + _BATCH] @ x.T, 12)
                     best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
-                    columns = [np.repeat(quids[at : at + _BATCH], most), ids[best.ravel()], np.take_along_axis(alike, best, 1).ravel(), least[best.ravel()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["quid", "uid", "near", "least"])
+                    near = np.take_along_axis(alike, best, 1).ravel()
+                    yield from met.add(np.repeat(quids[at : at + _BATCH], most), ids[best.ravel()], near, least[best.ravel()])
+            yield from met.flush()
 
         return _meeting(held, streamed, "node", "sub").mapInArrow(run, "quid long, uid long, near double, least long")
 

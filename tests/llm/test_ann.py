@@ -133,3 +133,20 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in (1 + 0.05 * rng.normal(size=6))]) for i in range(300)]
     assert found(spark, rows, "vec_id % 5 = 0") == brute(rows, lambda q: q % 5 == 0)
+
+
+def test_a_task_holds_few_answers(spark, monkeypatch):
+    monkeypatch.setattr(ann, "HELD_ROWS", 50)
+    best, rng, out = ann._Best(3), np.random.default_rng(8), []
+    near = np.round(rng.random((20, 30)), 2)
+    for u in range(30):
+        for _ in range(2):  # an entry is in several lists
+            out += list(best.add(np.arange(20), np.full(20, 100 + u), near[:, u], np.full(20, u)))
+    out += list(best.flush())
+    got = {}
+    for batch in out:
+        for r in batch.to_pylist():
+            got.setdefault(r["quid"], set()).add((-r["near"], r["least"], r["uid"]))
+    for q in range(20):
+        want = sorted((-near[q, u], u, 100 + u) for u in range(30))[:3]
+        assert sorted(got[q])[:3] == want
