@@ -38,21 +38,21 @@ class Stats:
 
 @cache
 def _kinds() -> np.ndarray:
-    """The kind of every code point."""
+    """The kind of every code point there is."""
 
     def kind(c: str) -> int:
         if c.isalpha():
             return _UPPER if c.isupper() else _LETTER
         return _DIGIT if c.isdigit() else _SPACE if c.isspace() else _PUNCT if unicodedata.category(c)[0] in "PS" else _OTHER
 
-    return np.fromiter((kind(chr(c)) for c in range(0x10000)), np.uint8, 0x10000)
+    return np.fromiter((kind(chr(c)) for c in range(0x110000)), np.uint8, 0x110000)
 
 
 def _kind_counts(text: str) -> np.ndarray:
     total = np.zeros(6, np.int64)
     for at in range(0, len(text), 1 << 20):
         points = np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le", "replace"), "<u4")
-        total += np.bincount(_kinds()[np.minimum(points, 0xFFFF)], minlength=6)
+        total += np.bincount(_kinds()[points], minlength=6)
     return total
 
 

@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from geoledger.llm.common import keep, scratch, table, text_slices
 from geoledger.llm.tokens import default_tokenizer, encode
 
-#: The dictionary is trained on about so many documents, of each at most so many bytes of ids.
-SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 8_192
+#: The dictionary is trained on about so many documents, of each at most so many bytes of ids; of a long one's text on four
+#: slices of so many characters, evenly from beginning to end.
+SAMPLE_DOCS, SAMPLE_BYTES, SLICE_CHARS = 1_000, 8_192, 1_000
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 #: A block ends at so many documents or bytes of frames, whichever comes first.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: Texts' bytes for each task that writes, while there are no more tasks than a shuffle bears; then tasks grow and spill.
-TASK_BYTES, MOST_TASKS = 64 << 20, 20_000
+TASK_BYTES, MOST_TASKS = 64 << 20, 100_000
 #: Parts whose running sums may be broadcast (16 bytes each); with more, they are joined by a shuffle.
 BROADCAST_PARTS = 1_000_000
 BLOCK = "part int, block int, first_doc long, last_doc long, n_docs int, n_tokens long, within long, dictionary string, offsets binary, doc_ids binary, counts binary, frames binary"
@@ -121,8 +122,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: b
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = narrow.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.lit(max(1, round(share * (1 << 20))))
-    sample = narrow.where(draw).select("doc_id", F.left("text", F.lit(SAMPLE_BYTES)).alias("text"))  # SAMPLE_DOCS rows on average, whatever the input
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20)) < F.lit(max(1, round(share * (1 << 20))))
+    slices = f"transform(sequence(0, 3), k -> substring(text, cast(1 + k * (length(text) - {SLICE_CHARS}) div 3 as int), {SLICE_CHARS}))"
+    sample = narrow.where(draw).select(F.expr(f"if(length(text) > {4 * SLICE_CHARS}, array_join({slices}, ' '), text) as text")).limit(4 * SAMPLE_DOCS)  # SAMPLE_DOCS rows on average, whatever the input
     data = train_dictionary([encode(r["text"] or "", tokenizer, added)[:SAMPLE_BYTES] for r in sample.toLocalIterator()])
     spark.createDataFrame([(dictionary_hash(data), bytearray(data))], "dictionary string, data binary").write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(data)
@@ -140,7 +142,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: b
             yield rows(writer.block())
 
     tasks = max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, -(-_text_bytes(narrow, total, draw) // TASK_BYTES)))
-    ordered = narrow.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = narrow.repartitionByRange(tasks, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # rows of one id are no one task
     ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
@@ -155,6 +157,8 @@ def read_ids(spark: SparkSession, path: str, only: list[int] | None = None) -> D
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before it. ``only`` names documents."""
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     data = {r["dictionary"]: bytes(r["data"]) for r in spark.read.schema("dictionary string, data binary").parquet(f"{path}/dictionary").collect()}  # one row
+    if broken := [name for name, bytes_ in data.items() if dictionary_hash(bytes_) != name]:
+        raise ValueError(f"dictionary {broken[0]} does not have the hash that it is named by")
     wanted = None if only is None else set(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

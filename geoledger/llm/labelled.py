@@ -30,21 +30,28 @@ def labels_of(labels: DataFrame, name: str) -> DataFrame:
     return rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def sample(docs: DataFrame, known: DataFrame, most: int, unlabelled: int | None = None) -> tuple[DataFrame, float]:
-    """(doc_id, text, label) to learn from, and the share of label 1 among the labelled rows.
+def _learnable(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
-    At most about ``most`` rows with label 1, and as many with label 0, or (``unlabelled``) about so many drawn from all rows
-    that may be learnt from, whatever their label, which is null then. Rows are drawn by a hash of the id.
+
+def _drawn(known: DataFrame, label: int, most: int) -> DataFrame:
+    own = known.where(F.col("label") == label)
+    return own.where(_draw(F.col("doc_id"), most / max(1, own.count()), f"label {label}"))
+
+
+def sample(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, label) to learn from: at most about ``most`` rows with each label, drawn by a hash of the id."""
+    both = _drawn(known, 1, most).unionByName(_drawn(known, 0, most))
+    return _learnable(docs).join(F.broadcast(both), "doc_id")  # about 2 * most ids and labels
+
+
+def sample_unlabelled(docs: DataFrame, known: DataFrame, most: int, unlabelled: int) -> DataFrame:
+    """(doc_id, text, label) to learn from positives and unlabelled text: at most about ``most`` rows with label 1, and about
+    ``unlabelled`` with null drawn from all rows that may be learnt from. Labels other than 1 are not looked at.
     """
-    tally = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    prior = tally["ones"] / tally["n"] if tally["n"] else 0.0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ones = known.where("label = 1").where(_draw(F.col("doc_id"), most / max(1, tally["ones"]), "one"))
-    if unlabelled is None:
-        zeros = known.where("label = 0").where(_draw(F.col("doc_id"), most / max(1, tally["n"] - tally["ones"]), "zero"))
-        return rows.join(F.broadcast(ones.unionByName(zeros)), "doc_id"), prior  # about 2 * most ids and labels
+    rows = _learnable(docs)
     drawn = rows.where(_draw(F.col("doc_id"), unlabelled / max(1, rows.select("doc_id").count()), "any")).withColumn("label", F.lit(None).cast("int"))
-    return rows.join(F.broadcast(ones), "doc_id").unionByName(drawn), prior  # about ``most`` ids and labels
+    return rows.join(F.broadcast(_drawn(known, 1, most)), "doc_id").unionByName(drawn)  # about ``most`` ids and labels
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float, keep: list[str] | None = None) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from geoledger.llm.common import table, text_slices
 from geoledger.llm.docstats import FEATURES, stats
-from geoledger.llm.labelled import held_out, labels_of, sample, scored
-from geoledger.llm.pu import Network, fit_network, sigmoid
+from geoledger.llm.labelled import held_out, labels_of, sample_unlabelled, scored
+from geoledger.llm.pu import Network, estimate_prior, fit_network, sigmoid
 
-#: Trusted rows, and as many unlabelled ones, that a fit takes at most (about).
-MOST = 10_000
+#: Trusted rows, and unlabelled ones, that a fit takes at most (about).
+MOST, MOST_UNLABELLED = 10_000, 10_000
 THRESHOLD = 0.3
 
 
@@ -40,20 +40,24 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "label int, features array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """Learn from rows that are not held out: quality 1 as trusted positives, all others as unlabelled web text.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+    """Learn from rows that are not held out: quality 1 as trusted positives, and unlabelled web text.
 
-    The class prior is the share of quality 1 among the labelled rows. At most about 2 * ``most`` rows are taken, of each
-    only its statistics. Without a positive or without any other row nothing is known against a text, and all score 1.
+    The class prior is estimated from these two, and labels other than 1 are not looked at. At most about ``most`` trusted
+    and ``most_unlabelled`` other rows are taken, of each only its statistics. Without a positive or without any other row
+    nothing is known against a text, and all score 1.
     """
-    rows, prior = sample(docs, labels_of(labels, "quality"), most, most)
+    rows = sample_unlabelled(docs, labels_of(labels, "quality"), most, most_unlabelled)
     got = features(rows.dropDuplicates(["text", "label"])).toPandas()
     positive = (got["label"] == 1).to_numpy()
     if not positive.any() or positive.all():
         return Model(None)
     x = np.array(got["features"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # rows come in any order
-    return Model(fit_network(x[order], positive[order], float(np.clip(prior, 1e-3, 1 - 1e-3))))
+    order = order[np.random.default_rng(3).permutation(len(order))]
+    x, positive = x[order], positive[order]
+    prior = estimate_prior(positive, lambda half: lambda rest: fit_network(x[half], positive[half], None)(x[rest]))
+    return Model(fit_network(x, positive, prior))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

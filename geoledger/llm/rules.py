@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Trees | None:
 
     None if both labels aren't there: then nothing but the base rules rejects a document.
     """
-    rows, _ = sample(docs, labels_of(labels, "quality"), most)
+    rows = sample(docs, labels_of(labels, "quality"), most)
     got = features(rows.dropDuplicates(["text", "label"])).toPandas()
     if got["label"].nunique() < 2:
         return None

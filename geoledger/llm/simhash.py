@@ -2,7 +2,7 @@
 
 Deletion-variant signatures: a 64-bit fingerprint is cut into two 32-bit segments. Of two fingerprints that differ in at
 most two bits, one segment differs in at most one, so they share a variant of that segment with one position wild.
-Variants are joined on equality and every candidate is verified.
+Variants meet by equality, in one shuffle of the variants, and every candidate is verified.
 
 A segment value that very many different fingerprints share (a large group of near copies) would make a bucket of all
 their pairs. The rows of such buckets take an exact way of bounded size instead: two fingerprints differ in at most two
@@ -82,12 +82,8 @@ def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     bits each that joins the same fingerprints.
     """
     keys, hot = _variants(fps), _hot_keys(fps, hot_segment)
-    cool = keys.join(hot, "key", "left_anti")
-    pairs = (
-        cool.alias("x")
-        .join(cool.alias("y"), F.expr("x.key = y.key and x.fp < y.fp and bit_count(x.fp ^ y.fp) <= 2"))
-        .selectExpr("x.fp as a", "y.fp as b")
-    )
+    buckets = keys.join(hot, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)  # of two values' rows at most
+    pairs = buckets.select(F.explode("near").alias("a"), "near").select("a", F.explode(F.expr("filter(near, b -> a < b and bit_count(a ^ b) <= 2)")).alias("b"))
     crowd = keys.join(hot, "key", "left_semi").select("fp").distinct()
     words = crowd.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("j"))
     words = words.selectExpr("fp", "if(j < 0, fp, fp ^ shiftleft(1L, j)) as word")

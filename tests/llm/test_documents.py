@@ -210,12 +210,64 @@ def test_languages(spark, docs, empty):
     assert langid.identify(empty, languages, prototypes).count() == 0
 
 
-def test_profile_is_the_sum_of_bound_letters():
-    v = langid._letter_vectors(64)
-    a, b = 1, 2
-    want = np.roll(v[0], 2) * np.roll(v[a], 1) * v[b] + np.roll(v[a], 2) * np.roll(v[b], 1) * v[0].astype(int)
-    got, lettered = langid.Bundler(64)(["Ab", "!?", "\U00010400"])
-    assert (got[0] == want).all() and lettered.tolist() == [True, False, True]
+def bound(text, dimensions):
+    """A text's profile from its definition: letters bound to three-grams one by one, and added."""
+    import re
+
+    vector = lambda c: langid.letter_vectors(np.array([0 if c == " " else ord(c)]), dimensions)[0].astype(int)
+    letters = "".join(c.lower()[:1] if c.isalpha() else " " for c in text)
+    padded = " " + re.sub(" +", " ", letters).strip(" ") + " "
+    total = np.zeros(dimensions, int)
+    for k in range(len(padded) - 2):
+        total += np.roll(vector(padded[k]), 2) * np.roll(vector(padded[k + 1]), 1) * vector(padded[k + 2])
+    return total
+
+
+def test_profile_is_the_sum_of_bound_letters(monkeypatch):
+    monkeypatch.setattr(langid, "_BLOCK", 7)
+    texts = ["Ab", "!?", "\U00010400", "Don't  stop, 42 times", "привет мир", "ひらがな カタカナ", "ΑΒΓ αβγ", ""]
+    got, lettered = langid.bundle(texts, 64)
+    for row, text, ok in zip(got, texts, lettered):
+        assert ok == any(map(str.isalpha, text)) and (not ok or (row == bound(text, 64)).all()), text
+    assert (got[[1, 7]] == 0).all()
+
+
+def test_every_letter_has_its_own_vector():
+    points = np.array([*range(0x3041, 0x3097), *range(0xAC00, 0xAC00 + 2_000), *range(0x430, 0x450), *range(0x3B1, 0x3C9), *range(97, 123)])
+    vectors = langid.letter_vectors(points).astype(float)
+    alike = vectors @ vectors.T / langid.DIMENSIONS
+    np.fill_diagonal(alike, 0)
+    assert np.abs(alike).max() < 0.25 and abs(vectors.mean()) < 0.01
+
+
+def test_scripts_beyond_latin(spark):
+    """Two languages in kana, two in Cyrillic, one in Latin letters; held-out texts against cosines of the definition."""
+    rng = np.random.default_rng(3)
+    letters = {"k1": "あいうえおかきくけこ", "k2": "さしすせそたちつてと", "c1": "абвгдежзик", "c2": "лмнопрстуф", "la": "abcdefghij"}
+    syllables = {n: ["".join(rng.choice([*s, *"".join(letters.values())[:3]], 2)) for _ in range(12)] for n, s in letters.items()}
+    text = lambda n: " ".join("".join(rng.choice(syllables[n], 3)) for _ in range(8))
+    rows = [(k, text(n), n) for k, n in enumerate(list(letters) * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = split_bucket(F.col("doc_id"), 3) == 1
+    languages, prototypes = langid.fit(table.where(~held), dimensions=256)
+    got = {r["doc_id"]: r for r in langid.identify(table.where(held), languages, prototypes).collect()}
+    assert np.mean([got[k]["lang_pred"] == n for k, _, n in rows if k in got]) > 0.95
+    unit = lambda v: v / np.linalg.norm(v)
+    learnt = {n: sum(np.rint(unit(bound(t, 256)) * 2**20) for k, t, m in rows if m == n and k not in got) for n in languages}
+    assert all(np.allclose(learnt[n], p, atol=100) for n, p in zip(languages, prototypes))
+    centre = np.mean([unit(learnt[n]) for n in languages], axis=0)
+    for k, t, _ in rows[:60]:
+        if k in got:
+            cosines = [unit(bound(t, 256)) @ unit(unit(learnt[n]) - centre) for n in languages]
+            best = int(np.argmax(cosines))
+            share = 1 / sum(np.exp(langid.SHARPNESS * (c - cosines[best])) for c in cosines)
+            assert got[k]["lang_pred"] == languages[best] and abs(got[k]["score"] - share) < 1e-3
+
+
+def test_rare_languages_keep_their_rows(spark):
+    rows = [(k, f"{'common words' if k else 'zeldzaam'} here", "big" if k else "rare") for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(table, per_language=5)[0] == ["big", "rare"]
 
 
 # 5 and 6: classifiers
@@ -385,6 +437,25 @@ def test_a_trained_dictionary_is_needed_and_shared():
     assert len(row[11]) < len(plain.block()[11])
 
 
+def test_rows_of_one_id_are_no_one_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idfile, "TASK_BYTES", 4_000)
+    rows = spark.range(600).selectExpr("if(id % 2 = 0, null, 7) as doc_id", "repeat(concat('word ', id, ' '), 20) as text")
+    path = idfile.write_ids(rows, str(tmp_path / "hot"))
+    parts = [r["n"] for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(parts) > 6 and max(parts) < 200
+    got = idfile.read_ids(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 300 + [7] * 300 and got[0]["start"] == 0
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
+def test_another_dictionary_is_refused(spark, docs, tmp_path):
+    path = idfile.write_ids(docs, str(tmp_path / "set"))
+    name = spark.read.parquet(f"{path}/dictionary").first()["dictionary"]
+    spark.createDataFrame([(name, bytearray(b"other"))], "dictionary string, data binary").write.mode("overwrite").parquet(f"{path}/dictionary")
+    with pytest.raises(ValueError, match="dictionary"):
+        idfile.read_ids(spark, path)
+
+
 # Registered queries
 
 
@@ -400,4 +471,4 @@ def test_registered_digests(spark, tmp_path, docs):
         rows = QUERIES[name](spark, str(tmp_path)).select("doc_id").distinct().count()
         assert rows == len(TEXTS), name
     for row in QUERIES["op10_token_files"](spark, str(tmp_path)).collect():
-        assert row["ids_crc32"] == zlib.crc32(encode(TEXTS[row["doc_id"]] or "", default_tokenizer()))
+        assert row["ids_crc32"] == zlib.crc32(encode(TEXTS[row["doc_id"]] or "", default_tokenizer(), True))
