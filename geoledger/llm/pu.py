@@ -18,6 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Standard errors that bound a share, and the positives' share that the prior is read from at least.
+SURE, LEAST_ABOVE = 3.0, 0.3
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
@@ -61,17 +65,18 @@ def best_bin(of_positives: np.ndarray, of_unlabelled: np.ndarray) -> float:
     """The share of positives among U from scores that tell P from U, of rows the scores weren't learnt from.
 
     Among rows that score at least c are at most all positives of U; where few others score so high, U's share of such
-    rows over P's is the share of positives (best bin estimation, Garg et al., 2021). c is where that quotient and its
-    standard error together are least. P must be drawn like the positives of U.
+    rows over P's is the share of positives (best bin estimation, Garg et al., 2021). c is where the upper bound of that
+    quotient, by SURE standard errors, is least; at least LEAST_ABOVE of P are above it. P must be drawn like the
+    positives of U.
     """
     p, u = np.sort(of_positives), np.sort(of_unlabelled)
     if not len(p) or not len(u):
         return 0.5
     at = np.unique(p)
     q_p, q_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
-    some = np.maximum(q_u, 1 / len(u))
-    error = np.sqrt((1 - q_p + 1 / len(p)) / (q_p * len(p)) + (1 - some + 1 / len(u)) / (some * len(u)))
-    best = int(np.argmin(some / q_p * (1 + error)))
+    upper = q_u + SURE / len(u) + SURE * np.sqrt((q_u + SURE / len(u)) / len(u))
+    upper = upper / q_p * (1 + SURE * np.sqrt((1 - q_p + 1 / len(p)) / (q_p * len(p))))
+    best = int(np.argmin(np.where(q_p >= LEAST_ABOVE, upper, np.inf)))
     return float(q_u[best] / q_p[best])
 
 
