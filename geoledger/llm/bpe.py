@@ -36,7 +36,7 @@ from geoledger.llm.pretoken import PieceEncoder
 LEAF_BYTES = 10
 #: Longer windows are merged with a heap; up to so many bytes what a window encodes to is remembered.
 _SHORT, _KEPT = 48, 20
-_MEMO = 400_000
+_MEMO = 200_000
 _NO_RANK = 1 << 62
 
 

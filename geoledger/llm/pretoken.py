@@ -61,7 +61,7 @@ class Recent(dict):
 class PieceEncoder:
     """Encodes whole texts by ``encode``, which turns one match of the pattern into bytes of its ids."""
 
-    def __init__(self, pattern: str, encode: Callable[[str], bytes], words: int = 500_000, pieces: int = 50_000):
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], words: int = 300_000, pieces: int = 50_000):
         self._find, self._encode = regex.compile(pattern).findall, encode
         self._pieces = Recent(encode, pieces)
         self._after_space = Recent(self._word, words)

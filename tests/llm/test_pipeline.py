@@ -66,3 +66,13 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark, folder):
+    """Columns named like what stages add, or like their helpers, come through as they are."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    odd = docs.selectExpr("doc_id", "text", "'s' as Score", "1 as `score (own)`", "2 as `own 0`", "3 as kept", "4 as _row0", "5 as `a.b`", "6 as probability")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns
+        assert out.where("Score = 's' and `score (own)` = 1 and `own 0` = 2 and kept = 3 and _row0 = 4 and `a.b` = 5 and probability = 6").count() == out.count() > 0
