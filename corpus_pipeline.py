@@ -11,7 +11,9 @@ from geoledger.llm.common import release, small_batches, table, written
 
 def _kept(docs: DataFrame, judged, new: list[str], condition: str) -> DataFrame:
     """The rows of docs for which ``condition`` holds on the columns ``new`` that ``judged`` adds; own columns stay as they are."""
-    aside = {c: f"{c} (own)" for c in docs.columns if c in new}
+    taken = {c.lower() for c in (*docs.columns, *new)}
+    free = (f"own {k}" for k in range(10**6) if f"own {k}" not in taken)
+    aside = {c: next(free) for c in docs.columns if c.lower() in {n.lower() for n in new}}
     out = judged(docs.withColumnsRenamed(aside)).where(condition).drop(*new)
     return out.withColumnsRenamed({v: k for k, v in aside.items()}).select([F.col(f"`{c}`") for c in docs.columns])
 
