@@ -111,8 +111,8 @@ TEXT = "(text)"
 
 
 def with_text(docs: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs, and last the text as TEXT."""
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{text_col}`").alias(TEXT))
+    """The named columns of docs, under names that any function takes (c0, c1, ...), and last the text as TEXT."""
+    return docs.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col(f"`{text_col}`").alias(TEXT))
 
 
 def split_bucket(doc_id: Column, parts: int) -> Column:

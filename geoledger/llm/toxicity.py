@@ -7,8 +7,9 @@ training text has.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -42,7 +43,7 @@ def _runs(word: str) -> Iterator[str]:
     return (word[i : i + 5] for i in range(len(word) - 4))
 
 
-def pieces(token: str) -> Iterator[str]:
+def pieces(token: str) -> Iterable[str]:
     """Features of one token, some twice: its word, the word's beginnings, and its runs of five letters.
 
     A token of more letters than WORD_LETTERS is text without spaces: it has the runs only, which tell less there, as many
@@ -50,16 +51,18 @@ def pieces(token: str) -> Iterator[str]:
     """
     word = token.strip(_NOT_LETTERS)
     if len(word) > WORD_LETTERS:
-        yield from (f"~{run}" for run in _runs(word))
-    elif word:
-        yield f"={word}"
-        yield from (f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k)
-        yield from _runs(word)
+        return (f"~{run}" for run in _runs(word))
+    if not word:
+        return ()
+    return [f"={word}", *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k), *_runs(word)]
 
 
-def hashed(token: str) -> np.ndarray:
-    """The different features of one token as signed 32-bit numbers; a long one's never are Python objects all at once."""
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(p) - 2**31 for p in pieces(token)), np.int32))
+def hashed(token: str) -> set[int] | list[int]:
+    """The different features of one token as signed 32-bit numbers; a long one's pieces are numbers from the start."""
+    digest = xxhash.xxh32_intdigest
+    if len(token) <= WORD_LETTERS:
+        return {digest(p) - 2**31 for p in pieces(token)}
+    return np.unique(np.fromiter((digest(p) - 2**31 for p in pieces(token)), np.int32)).tolist()
 
 
 def several(hash_):
@@ -69,7 +72,10 @@ def several(hash_):
 
 def text_features(tokens: set[str]) -> np.ndarray:
     """The different features of a text's tokens, ascending."""
-    found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *map(hashed, tokens)]), return_counts=True)
+    flat = array("i")
+    for token in tokens:
+        flat.extend(hashed(token))
+    found, counts = np.unique(np.array(flat, np.int32), return_counts=True)
     return np.union1d(found, several(found[counts > 1]))
 
 
@@ -87,6 +93,7 @@ class Model:
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float):
         self._at = {int(f): k for k, f in enumerate(features)}
+        self._wanted = {*self._at, *map(several, self._at)}
         self._weights, self._bias, self._known = weights, bias, {}
 
     def __getstate__(self):
@@ -95,7 +102,7 @@ class Model:
     def _of(self, token: str) -> tuple[int, ...]:
         found = self._known.get(token)
         if found is None:
-            found = tuple(h for h in hashed(token).tolist() if h in self._at or several(h) in self._at)
+            found = tuple(h for h in hashed(token) if h in self._wanted)
             if len(token) <= 2 * WORD_LETTERS:
                 if len(self._known) >= _CACHE:
                     self._known.clear()
