@@ -54,6 +54,11 @@ def sample_unlabelled(docs: DataFrame, known: DataFrame, most: int, unlabelled:
     return rows.join(F.broadcast(_drawn(known, 1, most)), "doc_id").unionByName(drawn)  # about ``most`` ids and labels
 
 
+def different(rows: DataFrame) -> DataFrame:
+    """Sampled rows with each text and label once, spread over the cores, as Python is to see them next."""
+    return rows.dropDuplicates(["text", "label"]).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all, if None), then score and predicted.
 

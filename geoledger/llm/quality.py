@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoledger.llm.common import table, text_slices
 from geoledger.llm.docstats import FEATURES, stats
-from geoledger.llm.labelled import held_out, labels_of, sample_unlabelled, scored
+from geoledger.llm.labelled import different, held_out, labels_of, sample_unlabelled, scored
 from geoledger.llm.pu import Network, estimate_prior, fit_network, sigmoid
 
 #: Trusted rows, and unlabelled ones, that a fit takes at most (about).
@@ -48,12 +48,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_unlabelled: i
     nothing is known against a text, and all score 1.
     """
     rows = sample_unlabelled(docs, labels_of(labels, "quality"), most, most_unlabelled)
-    got = features(rows.dropDuplicates(["text", "label"])).toPandas()
+    got = features(different(rows)).toPandas()
     positive = (got["label"] == 1).to_numpy()
     if not positive.any() or positive.all():
         return Model(None)
     x = np.array(got["features"].tolist()).reshape(-1, len(FEATURES))
-    order = np.lexsort(x.T)  # rows come in any order
+    order = np.lexsort((*x.T, positive))  # rows come in any order
     order = order[np.random.default_rng(3).permutation(len(order))]
     x, positive = x[order], positive[order]
     prior = estimate_prior(positive, lambda half: lambda rest: fit_network(x[half], positive[half], None)(x[rest]))

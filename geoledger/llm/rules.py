@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from geoledger.llm.common import TEXT, table, text_slices, with_text
 from geoledger.llm.docstats import FEATURES, stats
-from geoledger.llm.labelled import labels_of, sample
+from geoledger.llm.labelled import different, labels_of, sample
 from geoledger.llm.pu import sigmoid
 from geoledger.llm.quality import features
 
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Trees | None:
     None if both labels aren't there: then nothing but the base rules rejects a document.
     """
     rows = sample(docs, labels_of(labels, "quality"), most)
-    got = features(rows.dropDuplicates(["text", "label"])).toPandas()
+    got = features(different(rows)).toPandas()
     if got["label"].nunique() < 2:
         return None
     x, y = np.array(got["features"].tolist()).reshape(-1, len(FEATURES)), got["label"].to_numpy(float)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoledger.llm.common import checkpointed, release, table, text_slices
-from geoledger.llm.labelled import held_out, labels_of, sample_unlabelled, scored
+from geoledger.llm.labelled import different, held_out, labels_of, sample_unlabelled, scored
 from geoledger.llm.pu import estimate_prior, fit_linear, sigmoid
 
 #: Confirmed rows, and unlabelled ones, that a fit takes at most (about).
@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_unlabelled: i
     Spark, and only the columns of selected ones come to the driver. Every text is learnt from twice, as it is and without
     white space. Without a positive or without any other row nothing is toxic, and all scores are 0.
     """
-    rows = sample_unlabelled(docs, labels_of(labels, "toxic"), most, most_unlabelled).dropDuplicates(["text", "label"])
-    rows = checkpointed(_features(rows))
+    rows = sample_unlabelled(docs, labels_of(labels, "toxic"), most, most_unlabelled)
+    rows = checkpointed(_features(different(rows)))
     got = rows.where("marks is not null").select("key", "label", "marks").toArrow().combine_chunks()  # MINHASHES numbers a row
     positive, keys = np.array(got.column("label").to_pylist(), object) == 1, got.column("key").to_numpy()
     if not positive.any() or positive.all():
