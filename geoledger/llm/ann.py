@@ -36,7 +36,7 @@ MOST_LEVELS = 4
 #: Neighbours in the centroids' graph, random long links beside them, and the beam that searches it.
 GRAPH_DEGREE, LONG_LINKS, BEAM = 20, 4, 16
 #: A vector is copied to lists up to so many times its nearest centroid's distance away, and to so many at most.
-CLOSURE_RATIO, MOST_COPIES = 1.1, 4
+CLOSURE_RATIO, MOST_COPIES = 1.04, 3
 #: Vectors that the pruning ratio is measured with, and the share of their neighbours that must be read.
 CALIBRATION, TARGET = 128, 0.95
 #: Above the last level nodes are kept up to so many times farther than the ratio says, and so many of the nearest anyway.
