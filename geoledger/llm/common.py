@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
 from weakref import WeakKeyDictionary
 
@@ -82,8 +82,11 @@ def release(*frames: DataFrame) -> None:
 
     It is called without frames when the driver's Python ends.
     """
-    for path in [_FOLDER_OF.pop(f) for f in frames if f in _FOLDER_OF] if frames else list(_KEPT):
-        system, target = _KEPT.pop(path)
+    _remove([_FOLDER_OF.pop(f) for f in frames if f in _FOLDER_OF] if frames else list(_KEPT))
+
+
+def _remove(paths: Iterable[str]) -> None:
+    for system, target in [_KEPT.pop(path) for path in paths if path in _KEPT]:
         with suppress(Py4JError, OSError):  # the JVM may have gone before
             system.delete(target, True)
 
@@ -101,6 +104,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make() gives, written; the folders that making it took go."""
+    scratch(spark)
+    before = set(_KEPT)
+    out = written(make(), tag)
+    _remove(set(_KEPT) - before - {_FOLDER_OF[out]})
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate table."""
     return written(df, "cut")

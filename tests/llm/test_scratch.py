@@ -69,6 +69,16 @@ def test_library_calls_leave_the_session_s_settings(spark):
     spark.conf.set(name, before)
 
 
+def test_what_a_stage_took_goes_with_it(spark):
+    """Folders of others stay, and so do the stage's rows."""
+    other = common.written(spark.range(3), "other")
+    kept = set(common._KEPT)
+    rows = common.settled(spark, lambda: common.checkpointed(common.checkpointed(spark.range(5)).where("id > 1")), "stage")
+    assert len(set(common._KEPT) - kept) == 1 and rows.count() == 3 and other.count() == 3
+    common.release(rows, other)
+    common.release(rows)
+
+
 def test_narrow_input_is_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert common.table(spark, SF, "documents").rdd.getNumPartitions() == cores
