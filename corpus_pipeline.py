@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoledger.llm import nearcopies, packing, quality, rules
-from geoledger.llm.common import release, small_batches, table, written
+from geoledger.llm.common import release, settled, small_batches, table
 
 
 def _kept(docs: DataFrame, judged, new: list[str], condition: str) -> DataFrame:
@@ -56,6 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(spark, partial(stage, spark, docs, sf_dir), name)
         release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
