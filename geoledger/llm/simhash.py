@@ -81,9 +81,11 @@ def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     fps: distinct fp. From buckets of the usual size every such pair comes; from hot ones a chain of links within two
     bits each that joins the same fingerprints.
     """
-    keys, hot = _variants(fps), _hot_keys(fps, hot_segment)
+    keys, hot = _variants(fps), checkpointed(_hot_keys(fps, hot_segment))  # written, so that its size is known to the joins below
     buckets = keys.join(hot, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)  # of two values' rows at most
     pairs = buckets.select(F.explode("near").alias("a"), "near").select("a", F.explode(F.expr("filter(near, b -> a < b and bit_count(a ^ b) <= 2)")).alias("b"))
+    if hot.isEmpty():
+        return pairs.distinct()
     crowd = keys.join(hot, "key", "left_semi").select("fp").distinct()
     words = crowd.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("j"))
     words = words.selectExpr("fp", "if(j < 0, fp, fp ^ shiftleft(1L, j)) as word")
