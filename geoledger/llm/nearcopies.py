@@ -4,8 +4,14 @@ Few texts with a similarity of 0.8 have fingerprints within two bits, so candida
 that agree in all minima of a band meet in one bucket. With 24 bands of 5 a pair at a Jaccard similarity of exactly 0.8
 is missed with a probability of 0.00007, and more similar ones less often. Every candidate is verified on whole texts.
 
-Texts that differ in case and white space only are one node. Buckets of large groups aren't multiplied out: first each
-node is verified against the least node it meets, and then only pairs that aren't in one class by then, all of them.
+Texts that differ in case and white space only are one node. Buckets of large groups aren't multiplied out. Each bucket has
+a centre, the node that meets most others, and first every node is compared with the centres it has. Then come the pairs
+of a centre's nodes that aren't in one class by then. Of few nodes all pairs are compared. Of many, only those that can
+be alike: with X and Y the shingles that x and y don't share with the centre (of either side), x and y differ in
+|X| + |Y| - 2 |X & Y| shingles and are alike just if that is at most (|x| + |y|) / 9. So X and Y share at least
+(|X| + |Y| - (|x| + |y|) / 9) / 2, which is above 0 if x or y isn't alike with the centre, and in any common order they meet
+among the first |X| less so many, and one, of each. Shingles that few have come first in that order: x's own, then those
+it lacks, and last what many of the centre's nodes have in common. No pair is lost: what doesn't meet so isn't alike.
 """
 
 from __future__ import annotations
@@ -26,6 +32,10 @@ SHINGLE_WORDS = 5
 #: Two sets are alike from ALIKE[0] / ALIKE[1] on.
 ALIKE = (4, 5)
 BANDS, BAND_ROWS = 24, 5
+#: Nodes of a centre up to which all their pairs are compared; more meet by what sets them apart from it.
+CROWD = 16
+#: A difference is common if more than one in so many of a centre's nodes has it.
+COMMON = 16
 _BLOCK = 4_096
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,18 +87,73 @@ def _marked(narrow: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "uid long, doc_id long, digest binary, fp long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of uids whose texts are alike. texts: uid, text."""
+def apart(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """What either of two sets has alone, as signed longs, x's own first; in one order for all sets x that are compared with a centre."""
+    return np.concatenate((np.setdiff1d(x, centre, assume_unique=True), np.setdiff1d(centre, x, assume_unique=True))).view(np.int64)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, crowded) of uids with whether their texts are alike, and if crowded what a differs in from b. texts: uid, text."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     some = texts.join(ids, "uid", "left_semi")
     left, right = some.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), some.select(F.col("uid").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None
         for batch, texts in text_slices(batches):
-            same = [alike(shingles(_words(a.as_py() or "")), shingles(_words(b))) for a, b in zip(batch.column(2), texts)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+            out = []
+            for a, b, b_text, crowded in zip(batch.column(3), batch.column(1).to_pylist(), texts, batch.column(2).to_pylist()):
+                if b != last:  # pairs of one b mostly follow each other
+                    last, centre = b, shingles(_words(b_text))
+                x = shingles(_words(a.as_py() or ""))
+                out.append((alike(x, centre), len(x), apart(x, centre).tolist() if crowded else []))
+            columns = [*batch.columns[:3], *map(pa.array, map(list, zip(*out)), [pa.bool_(), pa.int64(), pa.list_(pa.int64())])]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "crowded", "same", "size", "differences"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "crowded", "text_a", "text")
+    return both.mapInArrow(run, "a long, b long, crowded boolean, same boolean, size long, differences array<long>")
+
+
+def _with_centres(nodes: DataFrame) -> DataFrame:
+    """(a, b, crowded): each node a with the centres b of its buckets but itself. A bucket's centre is the node that meets most, of several the least."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpointed(keys.join(buckets, "key"))
+    meets = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    centres = met.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("less"))).alias("top")).select("key", (-F.col("top.less")).alias("b"))
+    pairs = checkpointed(met.join(centres, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    return pairs.join(pairs.groupBy("b").agg((F.count("*") > CROWD).alias("crowded")), "b").select("a", "b", "crowded")
+
+
+def _leading(crowd: DataFrame) -> DataFrame:
+    """(b, a, root, same, size, differs, at, shingle): a row for each of the differences in which alike pairs meet first."""
+    own = crowd.groupBy("b").agg(F.count("*").alias("n"))
+    often = crowd.select("b", F.explode("differences").alias("shingle")).groupBy("b", "shingle").agg(F.count("*").alias("times"))
+    often = often.join(own, "b").where(f"times > greatest(2, n div {COMMON})")
+    often = often.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("times", "shingle")))["shingle"].alias("common"))
+    order = "concat(array_except(differences, common), array_intersect(common, differences))"
+    order = crowd.join(often, "b", "left").withColumn("ordered", F.expr(f"if(common is null, differences, {order})")).withColumn("differs", F.expr("cast(size(differences) as long)"))
+    # bounds on where a pair meets that hold whatever the other one is
+    leading = order.withColumn("leading", F.expr("slice(ordered, 1, cast(1 + if(same, 5 * differs div 9, size div 4) as int))"))
+    return leading.select("b", "a", "root", "same", "size", "differs", F.posexplode("leading").alias("at", "shingle"))
+
+
+def _open_pairs(compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, crowded): pairs of a centre's nodes that are in different classes and may be alike; all that are alike are there."""
+    known = roots.select(F.col("node").alias("a"), "root")
+    rooted = compared.join(known, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    mixed = rooted.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b")
+    rooted = checkpointed(rooted.join(mixed, "b", "left_semi"))
+    few, other = rooted.where("not crowded").select("b", "a", "root"), "x.a > y.a and x.root != y.root"
+    direct = few.alias("x").join(few.alias("y"), F.expr(f"x.b = y.b and {other}"))
+    many = _leading(rooted.where("crowded"))
+    least = "(9 * (x.differs + y.differs) - x.size - y.size)"  # 18 times what both share
+    met = f"18 * (x.differs - x.at) >= {least} and 18 * (y.differs - y.at) >= {least}"
+    by_shingle = many.alias("x").join(many.alias("y"), F.expr(f"x.b = y.b and x.shingle = y.shingle and {other} and {met}"))
+    ends = ["x.a as a", "y.a as b"]
+    pairs = direct.selectExpr(*ends).unionByName(by_shingle.selectExpr(*ends)).distinct()
+    done = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti").withColumn("crowded", F.lit(False))
 
 
 def _simhash_links(nodes: DataFrame) -> DataFrame:
@@ -102,19 +167,10 @@ def _simhash_links(nodes: DataFrame) -> DataFrame:
 
 def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of each node that a link reaches. nodes: node, fp, bands."""
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    met = checkpointed(keys.join(buckets.drop("last"), "key"))
-    first = checkpointed(met.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b")).where("a != b"))
-    found = checkpointed(_simhash_links(nodes).unionByName(_verified(first, texts)))
+    compared = checkpointed(_compared(checkpointed(_with_centres(nodes)), texts))
+    found = checkpointed(_simhash_links(nodes).unionByName(compared.where("same").select("a", "b")))
     roots = components(found, "a", "b")
-
-    rooted = met.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = checkpointed(rooted.join(mixed, "key", "left_semi"))
-    pairs = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key and x.node > y.node and x.root != y.root"))
-    rest = checkpointed(pairs.selectExpr("x.node as a", "y.node as b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = checkpointed(_verified(rest, texts))
+    more = checkpointed(_compared(checkpointed(_open_pairs(compared, roots)), texts).where("same").select("a", "b"))
     return components(found.unionByName(more), "a", "b") if more.take(1) else roots
 
 

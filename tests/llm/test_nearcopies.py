@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from geoledger.llm import simhash
+from geoledger.llm import nearcopies, simhash
 
 WORDS = [f"{a}{b}{c}" for a in "bdkmt" for b in "aeiou" for c in "lnrsx"]
 
@@ -60,3 +60,37 @@ def test_rows_without_ids_and_columns_of_any_name(spark, tmp_path):
     got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 7] and {3, 5} <= {r["uid"] for r in got}
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_large_group_of_near_copies_is_not_multiplied_out(spark, tmp_path, monkeypatch):
+    """Texts that are alike with one base, but mostly not with each other: exact classes from few pairs."""
+    rng = np.random.default_rng(3)
+    base = " ".join(rng.choice(WORDS, 150))
+    texts = [changed(base, rng, int(n)) for n in rng.integers(2, 9, 260)]
+    texts = [t.replace("changed", f"{WORDS[k % 100]}{k}") for k, t in enumerate(texts)]
+    texts += [changed(t, rng, 1) for t in texts[:40]]
+    sets, marks, root = [runs(t) for t in texts], [simhash.fingerprint(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) or (marks[i] ^ marks[j]).bit_count() <= 2:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    rows, cut = [], nearcopies.checkpointed
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "checkpointed", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect())
+    want = sorted({find(i) for i in range(len(texts))})
+    assert got == want and 20 < len(want) < len(texts)
+    assert max(rows) <= nearcopies.BANDS * len(texts)
