@@ -107,11 +107,11 @@ def planted(spark: SparkSession) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Digests of every conversation's turns and of its trained text, read back from what was formatted."""
+    """Digests of every conversation's turns and of its trained text, read back from what was formatted: the latter from written-out examples, by their masks."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted(spark))
     formatted = conversations(rows)
-    masked = unescape(F.substr("reply", (F.col("loss_start") - F.col("context_chars") + 1).cast("int"), F.col("loss_chars").cast("int")))
-    losses = expand(formatted).select("conv_id", "target_turn", masked.alias("masked"))
+    masked = unescape(F.substr("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
+    losses = expand(formatted, with_text=True).select("conv_id", "target_turn", masked.alias("masked"))
     losses = losses.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("target_turn", "masked")))["masked"], "").alias("loss"))
     turns = formatted.select("conv_id", parse(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -39,6 +39,20 @@ def test_digests(spark, folder):
     assert got == expected(ROWS + [(-1, 0, "user", says), (-1, 1, "assistant", says)])
 
 
+def test_losses_are_read_from_whole_examples(spark, folder, monkeypatch):
+    """Each example has all turns before its reply, and the query has nothing but the example's text and mask to read."""
+    expand, asked = chat.expand, []
+
+    def only_text(formatted, with_text=False):
+        asked.append(with_text)
+        return expand(formatted, with_text).drop("reply", "context_chars")
+
+    monkeypatch.setattr(chat, "expand", only_text)
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op7(spark, folder).collect()}
+    says = "<|im_end|><|im_start|>assistant ok"
+    assert asked == [True] and got == expected(ROWS + [(-1, 0, "user", says), (-1, 1, "assistant", says)])
+
+
 def test_sql_agrees(spark, folder):
     db = duckdb.connect()
     db.sql(f"create view conversations as select * from '{folder}/conversations.parquet/*.parquet'")
