@@ -9,8 +9,9 @@ force, and the least ratio of distances by which TARGET of them would be read is
 then, and noise honestly needs many.
 
 Rows meet centroids, and queries meet lists, in sorted partitions where the smaller side is held and the other streams
-past, so every vector is sent once for each of its lists, however many queries there are. A list that grows long, or that
-very many queries read, is dealt into sublists that all its queries meet; none is cut short.
+past, so every vector is sent once for each of its lists, however many queries there are. A block that grows long, or that
+very many queries read, is dealt into sublists that all its queries meet; none is cut short. Up to BLOCK_LISTS sibling lists
+are a block: a query is one row for each block with the lists that it reads there, and is compared with those lists only.
 
 Equal vectors are one entry with their smallest ids, as many as an answer can hold; found neighbours get exact cosines.
 """
@@ -43,6 +44,8 @@ CALIBRATION, TARGET = 128, 0.95
 SLACK, UPPER_LEAST = 1.05, 8
 #: Distances that differ by rounding only are no further apart than this.
 ROUNDING = 1e-6
+#: Sibling lists that are held together; a query's vector is sent once for each such block, not for each list.
+BLOCK_LISTS = 16
 #: Rows that meet one copy of a node's centroids; rows of one sublist, and products of rows and queries in it.
 ROUTE_ROWS, SUBLIST_ROWS, SUBLIST_WORK = 16_384, 4_096, 1 << 28
 #: Rows of answers that a task holds at most.
@@ -143,6 +146,13 @@ def _dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 
 
+def _cosine(a: str, b: str) -> str:
+    """One root of both squares' product, where it is a number, rounds least: vectors of one direction tie at 1."""
+    squares = f"{_dot(a, a)} * {_dot(b, b)}"
+    apart = f"sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})"
+    return f"{_dot(a, b)} / if({squares} between 1e-290 and 1e290, sqrt({squares}), {apart})"
+
+
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
@@ -164,6 +174,13 @@ def _meeting(held: DataFrame, streamed: DataFrame, key: str, part: str) -> DataF
     return both.select(*order).repartition(key, part).sortWithinPartitions(key, part, "kind")
 
 
+def _in_blocks(lists: DataFrame) -> DataFrame:
+    """The columns of lists and, for its node, block and place: children of one node are in blocks by their numbers, a node without a parent is a block."""
+    number = "cast(substring_index(node, '.', -1) as int)"
+    blocks = f"concat(substring(node, 1, length(node) - length(substring_index(node, '.', -1))), 'b', {number} div {BLOCK_LISTS})"
+    return lists.withColumn("block", F.expr(f"if(instr(node, '.') > 0, {blocks}, node)")).withColumn("place", F.expr(f"if(instr(node, '.') > 0, {number}, 0)"))
+
+
 def _length(node: str) -> int:
     """The vectors' length, with which a node's name begins."""
     return int(node.partition(".")[0])
@@ -263,7 +280,7 @@ class Index:
         return moving.join(nodes, "node", "left_anti"), _route(going, level, ratio, least, most)
 
     def probes(self, queries: DataFrame, ratio: float) -> DataFrame:
-        """(uid, node): the lists that queries (uid) read."""
+        """(uid, block, places): the lists that queries (uid) read, a row for each block of them."""
         moving, settled = queries.join(self.vectors, "uid").select("uid", F.size("v").cast("string").alias("node"), F.lit(0.0).alias("distance")), None
         for k, level in enumerate(self.levels, 1):
             last = k == len(self.levels)
@@ -271,7 +288,7 @@ class Index:
             settled = still if settled is None else settled.unionByName(still)
             moving = checkpointed(moved)
         found = moving if settled is None else settled.unionByName(moving)
-        return _closest(found, ratio, None).select("uid", "node")
+        return _in_blocks(_closest(found, ratio, None)).groupBy("uid", "block").agg(F.collect_list("place").alias("places"))
 
     def ratio(self, k: int) -> float:
         """The least ratio of distances by which TARGET of the k nearest of CALIBRATION vectors, found by brute force, would be read."""
@@ -376,52 +393,66 @@ class Search:
         self.ratio = self.index.ratio(k)
         queries = self.asked.select("uid").distinct()
         self.probes = checkpointed(self.index.probes(queries, self.ratio))
-        rows = self.probes.join(self._sizes(), "node").groupBy("uid").agg(F.sum("n").alias("n"))
+        rows = self._read().groupBy("uid").agg(F.sum("n").alias("n"))
         short = checkpointed(rows.where(F.col("n") <= (k + 1) * MOST_COPIES).select("uid"))
         if short.take(1):  # lists too small to answer: these queries read all lists of their length
             self.probes = self.probes.join(short, "uid", "left_anti").unionByName(self.index.probes(short, 1e6))
 
     def _sizes(self) -> DataFrame:
-        return self.index.lists.groupBy("node").agg(F.count("*").alias("n"))
+        """(block, n, own): rows of each block, and of each of its lists as a map."""
+        lists = _in_blocks(self.index.lists).groupBy("block", "place").agg(F.count("*").alias("n"))
+        return lists.groupBy("block").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("own"))
+
+    def _read(self) -> DataFrame:
+        """(uid, n): rows of the lists that a query reads in each of its blocks."""
+        read = self.probes.join(self._sizes().drop("n"), "block")
+        return read.select("uid", F.expr("aggregate(places, 0L, (s, p) -> s + coalesce(own[p], 0L))").alias("n"))
 
     def read_share(self) -> float:
         """The mean share of all entries, copies in several lists counted each, that one query's lists hold."""
-        read, asked = self.probes.join(self._sizes(), "node").agg(F.sum("n")).first()[0] or 0, self.asked.select("uid").distinct().count()
+        read, asked = self._read().agg(F.sum("n")).first()[0] or 0, self.asked.select("uid").distinct().count()
         return read / max(1, asked * self.entries.count())
 
     def _met(self) -> DataFrame:
         """(quid, uid, near, least): the nearest of each query in each task's sublists, k + 2 at least if there are (itself may be there); what differs by rounding only is a tie."""
         k, vectors = self.k, self.entries.select("uid", "v", F.col("ids")[0].alias("least"))
-        asking = self.probes.groupBy("node").agg(F.count("*").alias("queries"))
-        deal = self._sizes().join(asking, "node")
-        deal = checkpointed(deal.selectExpr("node", f"cast(least(n, greatest(ceil(n / {SUBLIST_ROWS}), ceil(n * queries / {SUBLIST_WORK}))) as int) as subs"))
-        held = self.index.lists.join(deal, "node").select("node", F.expr("cast(pmod(xxhash64(uid), subs) as int)").alias("sub"), "uid").join(vectors, "uid")
-        streamed = self.probes.join(deal, "node").select("node", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), "uid").join(vectors.drop("least"), "uid")
+        asking = self.probes.groupBy("block").agg(F.count("*").alias("queries"))
+        deal = self._sizes().join(asking, "block")
+        deal = checkpointed(deal.selectExpr("block", f"cast(least(n, greatest(ceil(n / {SUBLIST_ROWS}), ceil(n * queries / {SUBLIST_WORK}))) as int) as subs"))
+        held = _in_blocks(self.index.lists).join(deal, "block").select("block", F.expr("cast(pmod(xxhash64(uid), subs) as int)").alias("sub"), "uid", F.array("place").alias("places")).join(vectors, "uid")
+        streamed = self.probes.join(deal, "block").select("block", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), "uid", "places").join(vectors.drop("least"), "uid")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, parts, ids, least, x, met = None, [], None, None, None, _Best(k + 2)
+            last, parts, lists, met = None, [], None, _Best(k + 2)
             for key, kind, part in _stretches(batches):
                 if key != last:
-                    last, parts, ids = key, [], None
+                    last, parts, lists = key, [], None
+                width, places = _length(key[0]), part.column(4)
                 if kind == 0:
-                    parts.append((part.column(3).to_numpy(), part.column(5).to_numpy(), unit(_matrix(part.column(4), _length(key[0])))))
+                    parts.append((part.column(3).to_numpy(), part.column(6).to_numpy(), places.flatten().to_numpy(), unit(_matrix(part.column(5), width))))
                     continue
                 if not parts:
                     continue
-                if ids is None:
-                    ids, least, x = (np.concatenate(c) for c in zip(*parts))
-                    order = np.argsort(least, kind="stable")
-                    ids, least, x = ids[order], least[order], x[order]
-                quids, q = part.column(3).to_numpy(), unit(_matrix(part.column(4), _length(key[0])))
-                most = min(k + 2, len(ids))
-                for at in range(0, len(q), _BATCH):
-                    alike = np.round(q[at : at + _BATCH] @ x.T, 12)
-                    best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
-                    near = np.take_along_axis(alike, best, 1).ravel()
-                    yield from met.add(np.repeat(quids[at : at + _BATCH], most), ids[best.ravel()], near, least[best.ravel()])
+                if lists is None:
+                    ids, least, place, x = (np.concatenate(c) for c in zip(*parts))
+                    order = np.lexsort((least, place))
+                    ids, least, place, x = ids[order], least[order], place[order], x[order]
+                    cuts = np.flatnonzero(np.diff(place)) + 1
+                    lists = {int(place[a]): (ids[a:b], least[a:b], x[a:b].T) for a, b in zip([0, *cuts], [*cuts, len(place)])}
+                    parts = [()]
+                quids, q = part.column(3).to_numpy(), unit(_matrix(part.column(5), width))
+                row, reads = np.repeat(np.arange(len(quids)), places.value_lengths().to_numpy()), places.flatten().to_numpy()
+                for p, (ids, least, own) in lists.items():
+                    asked, most = row[reads == p], min(k + 2, len(ids))
+                    for at in range(0, len(asked), _BATCH):
+                        these = asked[at : at + _BATCH]
+                        alike = np.round(q[these] @ own, 12)
+                        best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
+                        near = np.take_along_axis(alike, best, 1).ravel()
+                        yield from met.add(np.repeat(quids[these], most), ids[best.ravel()], near, least[best.ravel()])
             yield from met.flush()
 
-        return _meeting(held, streamed, "node", "sub").mapInArrow(run, "quid long, uid long, near double, least long")
+        return _meeting(held, streamed, "block", "sub").mapInArrow(run, "quid long, uid long, near double, least long")
 
     def answers(self) -> DataFrame:
         """(query_id, rank, vec_id, score)."""
@@ -430,7 +461,7 @@ class Search:
         met = met.withColumn("at", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("near"), "least"))).where(F.col("at") <= k + 2)
         pairs = met.select("quid", "uid").unionByName(self.asked.select(F.col("uid").alias("quid"), "uid")).distinct()
         exact = pairs.join(vectors.select(F.col("uid").alias("quid"), F.col("v").alias("q")), "quid").join(self.entries, "uid")
-        exact = exact.select("quid", "ids", F.expr(f"{_dot('q', 'v')} / (sqrt({_dot('q', 'q')}) * sqrt({_dot('v', 'v')}))").alias("score"))
+        exact = exact.select("quid", "ids", F.expr(_cosine("q", "v")).alias("score"))
         found = self.asked.join(exact, F.col("quid") == F.col("uid")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
         order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

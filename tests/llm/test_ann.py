@@ -150,3 +150,20 @@ def test_a_task_holds_few_answers(spark, monkeypatch):
     for q in range(20):
         want = sorted((-near[q, u], u, 100 + u) for u in range(30))[:3]
         assert sorted(got[q])[:3] == want
+
+
+def test_a_query_is_one_row_for_a_block_of_lists(spark, monkeypatch):
+    """Noise reads about half of all lists: rows that meet are far fewer than queries times lists, and none of the lists is left out."""
+    rows, cut = [], ann._meeting
+
+    def counted(held, streamed, key, part):
+        rows.append((key, streamed.count()))
+        return cut(held, streamed, key, part)
+
+    monkeypatch.setattr(ann, "_meeting", counted)
+    x = sphere(np.random.default_rng(9), 6_000, 24)
+    search = ann.Search(table_of(spark, x), "vec_id % 50 = 0")
+    lists = search.probes.selectExpr("sum(size(places))").first()[0]
+    assert search.answers().count() == 600
+    met = dict(rows)["block"]
+    assert 120 * 20 < lists and met * 4 < lists
