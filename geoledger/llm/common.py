@@ -27,7 +27,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch to BATCH_ROWS. Only the registered queries and the pipeline's run() do this."""
+    """Lower the session's Arrow batch to BATCH_ROWS. Only the registered queries and the pipeline's stages do this."""
     if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
@@ -132,8 +132,15 @@ def split_bucket(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts as Python strings, null as empty."""
+#: Empty what this Python worker remembers of words. Workers are reused, and a memo that fills would stay through later stages.
+MEMOS: list[Callable[[], None]] = []
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", memos: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts as Python strings, null as empty. Without ``memos`` the worker's MEMOS are emptied first."""
+    if not memos:
+        for forget in MEMOS:
+            forget()
     for batch in batches:
         at, n = 0, batch.num_rows
         texts = batch.column(batch.schema.get_field_index(column))

@@ -133,7 +133,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: b
         writer = BlockWriter(TaskContext.get().partitionId(), shared.value)
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("within", pa.int64()), ("dictionary", pa.string()), *((c, pa.binary()) for c in ("offsets", "doc_ids", "counts", "frames"))])
         rows = lambda row: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, memos=True):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 writer.add(doc_id, encode(text, tokenizer, added))
                 if writer.full():

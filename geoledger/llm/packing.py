@@ -149,7 +149,7 @@ def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW, ad
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, memos=True):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 ids = encode(text, path, added)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable
 from functools import cache
 from pathlib import Path
 
+from geoledger.llm.common import MEMOS
 from geoledger.llm.pretoken import PieceEncoder
 
 #: Ends every document.
@@ -64,6 +66,16 @@ def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
     return lambda text: b"".join(map(packed.__getitem__, whole.encode(text, add_special_tokens=False).ids))
 
 
+def forget() -> None:
+    """Free the encoders and what they remember, which holds itself in a cycle."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+
+
+MEMOS.append(forget)
+
+
 def cut_at(tokens: dict[str, bytes], ordinary: Callable[[str], bytes]) -> Callable[[str], bytes]:
     """Encodes the leftmost, longest strings of ``tokens`` as those, and what lies between by ``ordinary``."""
     find = re.compile(f"({'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})").split

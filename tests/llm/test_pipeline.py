@@ -76,3 +76,30 @@ def test_columns_of_any_name(spark, folder):
         out = stage(spark, odd, folder)
         assert out.columns == odd.columns
         assert out.where("Score = 's' and `score (own)` = 1 and `own 0` = 2 and kept = 3 and _row0 = 4 and `a.b` = 5 and probability = 6").count() == out.count() > 0
+
+
+def test_each_stage_lowers_the_batch(spark, folder):
+    """Stages are also called on their own, not only by run()."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.read.parquet(f"{folder}/documents.parquet").limit(5)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.set(name, "10000")
+        stage(spark, docs, folder)
+        assert spark.conf.get(name) == "1000"
+    spark.conf.set(name, before)
+
+
+def test_other_stages_empty_the_memo_of_words():
+    import weakref
+
+    import pyarrow as pa
+
+    from geoledger.llm import tokens
+    from geoledger.llm.common import text_slices
+
+    batch, path = pa.RecordBatch.from_pydict({"text": ["a b", None]}), tokens.default_tokenizer()
+    ids = tokens.encode("some words", path)
+    memo = weakref.ref(tokens.encoder(path).__self__)
+    assert [t for _, t in text_slices(iter([batch]), memos=True)] == [["a b", ""]] and memo() is not None
+    assert [t for _, t in text_slices(iter([batch]))] == [["a b", ""]] and memo() is None
+    assert tokens.encode("some words", path) == ids
