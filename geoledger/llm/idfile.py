@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoledger.llm.common import keep, scratch, table, text_slices
@@ -124,8 +124,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: b
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20)) < F.lit(max(1, round(share * (1 << 20))))
     slices = f"transform(sequence(0, 3), k -> substring(text, cast(1 + k * (length(text) - {SLICE_CHARS}) div 3 as int), {SLICE_CHARS}))"
-    sample = narrow.where(draw).select(F.expr(f"if(length(text) > {4 * SLICE_CHARS}, array_join({slices}, ' '), text) as text")).limit(4 * SAMPLE_DOCS)  # SAMPLE_DOCS rows on average, whatever the input
-    data = train_dictionary([encode(r["text"] or "", tokenizer, added)[:SAMPLE_BYTES] for r in sample.toLocalIterator()])
+    sample = narrow.where(draw).select(F.expr(f"if(length(text) > {4 * SLICE_CHARS}, array_join({slices}, ' '), text) as text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).limit(4 * SAMPLE_DOCS)  # SAMPLE_DOCS rows on average, whatever the input
+    drawn = [(encode(r["text"] or "", tokenizer, added)[:SAMPLE_BYTES], r["size"]) for r in sample.toLocalIterator()]
+    data = train_dictionary([ids for ids, _ in drawn])
     spark.createDataFrame([(dictionary_hash(data), bytearray(data))], "dictionary string, data binary").write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(data)
 
@@ -141,16 +142,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: b
         if len(writer):
             yield rows(writer.block())
 
-    tasks = max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, -(-_text_bytes(narrow, total, draw) // TASK_BYTES)))
+    tasks = max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, -(-_text_bytes([size for _, size in drawn], total) // TASK_BYTES)))
     ordered = narrow.repartitionByRange(tasks, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # rows of one id are no one task
     ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 
-def _text_bytes(narrow: DataFrame, total: int, draw: Column) -> int:
+def _text_bytes(sizes: list[int], total: int) -> int:
     """About how many bytes the texts have, by the mean of the sample."""
-    mean = narrow.where(draw).agg(F.avg(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0]
-    return int((mean or 0) * total)
+    return int(sum(sizes) / max(1, len(sizes)) * total)
 
 
 def read_ids(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ _CUT = re.compile(r"(?= \S)")
 BLOCK_CHARS = 1_000_000
 #: Neither letters, numbers nor white space; several after a word are one match of the pattern.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Longer pieces are encoded each time instead of being remembered.
+#: Longer pieces are encoded each time instead of being remembered, and so are two words around a line's end, which hardly repeat.
 LONGEST_KEPT = 64
 
 
@@ -49,7 +49,7 @@ class Recent(dict):
         value = self._older.get(key)
         if value is None:
             value = self._made(key)
-            if len(key) > LONGEST_KEPT:
+            if len(key) > LONGEST_KEPT or "\n" in key[:-1]:
                 return value
         if len(self) >= self._limit:
             self._older = dict(self)
@@ -61,7 +61,7 @@ class Recent(dict):
 class PieceEncoder:
     """Encodes whole texts by ``encode``, which turns one match of the pattern into bytes of its ids."""
 
-    def __init__(self, pattern: str, encode: Callable[[str], bytes], words: int = 300_000, pieces: int = 50_000):
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], words: int = 380_000, pieces: int = 50_000):
         self._find, self._encode = regex.compile(pattern).findall, encode
         self._pieces = Recent(encode, pieces)
         self._after_space = Recent(self._word, words)

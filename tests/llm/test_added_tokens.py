@@ -40,3 +40,17 @@ def test_queries_have_the_library_ids(spark, tmp_path):
         for r in rows:
             want = ids[r["doc_id"]]
             assert r["doc_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_words_around_a_line_s_end_take_no_room():
+    from geoledger.llm.pretoken import PieceEncoder
+
+    made = PieceEncoder(r"\s?\w+|\s", lambda piece: piece.encode())
+    assert made.encode("a word\nline word\nline") == b"a word\nline word\nline"
+    assert set(made._after_space) == {"word"}
+
+
+def test_files_parts_are_counted_from_the_sample_that_is_drawn():
+    from geoledger.llm import idfile
+
+    assert idfile._text_bytes([10, 30], 100) == 2_000 and idfile._text_bytes([], 0) == 0
