@@ -136,7 +136,7 @@ def split_bucket(doc_id: Column, parts: int) -> Column:
 MEMOS: list[Callable[[], None]] = []
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", memos: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", memos: bool = False, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts as Python strings, null as empty. Without ``memos`` the worker's MEMOS are emptied first."""
     if not memos:
         for forget in MEMOS:
@@ -146,7 +146,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", memos:
         texts = batch.column(batch.schema.get_field_index(column))
         while at < n:
             here, chars, end = [], 0, at
-            while end < n and end - at < SLICE_ROWS and (chars < SLICE_CHARS or end == at):
+            while end < n and end - at < rows and (chars < SLICE_CHARS or end == at):
                 here.append(texts[end].as_py() or "")
                 chars += len(here[-1])
                 end += 1

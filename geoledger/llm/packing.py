@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import table, text_slices, written
-from geoledger.llm.tokens import default_tokenizer, encode
+from geoledger.llm.common import BATCH_ROWS, table, text_slices, written
+from geoledger.llm.tokens import default_tokenizer, encode_all
 
 WINDOW = 1024
 #: Buckets that a length's ranks are counted in: at least so many, and one for so many remainders.
@@ -149,10 +149,9 @@ def tokenized(docs: DataFrame, path: str | None = None, window: int = WINDOW, ad
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, memos=True):
+        for batch, texts in text_slices(batches, memos=True, rows=BATCH_ROWS):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                ids = encode(text, path, added)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts, path, added)):
                 n = len(ids) // 4
                 rows += [(doc_id, n, at, min(window, n - at), ids[4 * at : 4 * (at + window)]) for at in range(0, n, window)]
             kinds = (*[pa.int64()] * 4, pa.binary())
