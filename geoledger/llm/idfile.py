@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoledger.llm.common import keep, scratch, table, text_slices
-from geoledger.llm.tokens import default_tokenizer, encode
+from geoledger.llm.common import BATCH_ROWS, keep, scratch, table, text_slices
+from geoledger.llm.tokens import default_tokenizer, encode, encode_all
 
 #: The dictionary is trained on about so many documents, of each at most so many bytes of ids; of a long one's text on four
 #: slices of so many characters, evenly from beginning to end.
@@ -134,9 +134,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, added: b
         writer = BlockWriter(TaskContext.get().partitionId(), shared.value)
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("within", pa.int64()), ("dictionary", pa.string()), *((c, pa.binary()) for c in ("offsets", "doc_ids", "counts", "frames"))])
         rows = lambda row: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
-        for batch, texts in text_slices(batches, memos=True):
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                writer.add(doc_id, encode(text, tokenizer, added))
+        for batch, texts in text_slices(batches, memos=True, rows=BATCH_ROWS):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts, tokenizer, added)):
+                writer.add(doc_id, ids)
                 if writer.full():
                     yield rows(writer.block())
         if len(writer):
