@@ -40,11 +40,39 @@ ENCODINGS = [code.lower() for name, _, _, code in LOCAL if name == ENCODING]
 ERROR = "ord int, for_field string, reason string, column string, description string, solution string, valid_values array<struct<id: string, label: string>>"
 
 
+#: Estimated bytes of the relations (Parquet's, which are far fewer than rows take in memory) that make one more part.
+PART_BYTES = 128 * 1024
+#: Up to so many parts a task that deals rows out holds none of them (Spark's spark.shuffle.sort.bypassMergeThreshold).
+MOST_PARTS = 200
+#: A larger estimate is none: Spark gives one to rows that don't come from files.
+UNKNOWN_BYTES = 1 << 50
+
+
 def is_feature_tag(name: Column) -> Column:
     """Tags of the storage format itself are left out."""
     return ~name.contains("delta.")
 
 
+def _parts(*relations: DataFrame | None) -> int:
+    """How many parts the relations are dealt out to, by their estimated size; a session that sets more shuffle partitions may get more."""
+    known = [r for r in relations if r is not None]
+    spark, size = known[0].sparkSession, sum(int(r._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for r in known)
+    set_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size > UNKNOWN_BYTES:
+        return set_
+    return max(1, min(max(MOST_PARTS, set_), max(spark.sparkContext.defaultParallelism, size // PART_BYTES)))
+
+
+def _dealt(relation: DataFrame, parts: int) -> DataFrame:
+    """The rows of a table together, in a fixed number of parts: what is grouped or joined by table next isn't shuffled again.
+
+    The catalogue's name is left out: it is often a literal, which Spark puts in the key's place, and then it knows no more
+    that a table's rows are together. Without this a task sorts all tags that it reads, as texts' maxima are found in sorted rows; and adaptive execution joins
+    parts by their compressed bytes, which repeated texts make few.
+    """
+    return relation.repartition(parts, *TABLE_KEYS[1:])
+
+
 def table_metadata(catalog: Catalog, with_columns: bool = False) -> DataFrame:
     """One record for each table: IDENTITY, FIELDS, column_properties and optional_params.
 
@@ -52,15 +80,16 @@ def table_metadata(catalog: Catalog, with_columns: bool = False) -> DataFrame:
     says. Tags without a field are in optional_params. column_properties is empty unless with_columns is set, which fills
     it from the tags of columns.
     """
-    tags = catalog.tags.where(is_feature_tag(F.col("tag_name")))
+    parts = _parts(catalog.tags, catalog.tables, catalog.column_tags if with_columns else None)
+    tags = _dealt(catalog.tags.where(is_feature_tag(F.col("tag_name"))), parts)
     tags = tags.groupBy(*TABLE_KEYS, "tag_name").agg(F.max("tag_value").alias("tag_value"))
     picks = [F.max(F.when(F.col("tag_name") == f, F.col("tag_value"))).alias(f) for f in FIELDS if f != COMMENT_FIELD]
     left = F.collect_list(F.when(~F.col("tag_name").isin(FIELDS), F.struct("tag_name", "tag_value")))
     wide = tags.groupBy(*TABLE_KEYS).agg(*picks, F.map_from_entries(F.sort_array(left)).alias("optional_params"))
     tables = catalog.tables.select(F.col("table_catalog").alias("catalog_name"), F.col("table_schema").alias("schema_name"), "table_name", F.col("comment").alias(COMMENT_FIELD))
-    out = tables.join(wide, TABLE_KEYS, "left")
+    out = _dealt(tables, parts).join(wide, TABLE_KEYS, "left")
     if with_columns:
-        out = out.join(column_properties(catalog), TABLE_KEYS, "left")
+        out = out.join(column_properties(catalog, parts), TABLE_KEYS, "left")
     else:
         out = out.withColumn("column_properties", F.lit(None).cast(COLUMN_PROPERTIES))
     names = dict(zip(TABLE_KEYS, IDENTITY))
@@ -75,10 +104,11 @@ def column_metadata(catalog: Catalog) -> DataFrame:
     return columns.join(catalog.column_tags, COLUMN_KEYS, "left")
 
 
-def column_properties(catalog: Catalog) -> DataFrame:
-    """(TABLE_KEYS, column_properties): the epsg and geometri_encoding tags of each table's columns."""
+def column_properties(catalog: Catalog, parts: int | None = None) -> DataFrame:
+    """(TABLE_KEYS, column_properties): the epsg and geometri_encoding tags of each table's columns, in so many parts."""
     tag = lambda name: F.max(F.when(F.col("tag_name") == name, F.col("tag_value"))).alias(name)
-    each = catalog.column_tags.groupBy(*COLUMN_KEYS).agg(tag("epsg"), tag(ENCODING))
+    dealt = _dealt(catalog.column_tags, parts or _parts(catalog.column_tags))
+    each = dealt.groupBy(*COLUMN_KEYS).agg(tag("epsg"), tag(ENCODING))
     entry = F.struct("column_name", F.struct("epsg", ENCODING).alias("p"))
     entries = F.map_from_entries(F.sort_array(F.collect_list(entry)))
     return each.groupBy(*TABLE_KEYS).agg(entries.cast(COLUMN_PROPERTIES).alias("column_properties"))

@@ -1,6 +1,7 @@
 """Governance of metadata, codelists and contracts."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoledger.operators import governance as g
@@ -169,3 +170,27 @@ def test_a_circular_document_is_flat():
     document = {"properties": {"n": {"type": "integer"}, "o": {"type": "object", "properties": {"x": {}}}}}
     assert kinds(document, circular_references=["#"]) == {"n": ("string", True), "o": ("string", True)}
     assert kinds(document, circular_references=["#/o"]) == kinds(document)
+
+
+def test_no_task_sorts_what_it_reads(spark):
+    """Tags, tables and tags of columns are dealt out by table as they are read, once, in parts that adaptive execution doesn't join."""
+    rows = spark.range(3000).selectExpr("'c' as catalog_name", "concat('s', id % 3) as schema_name", "concat('t', id) as table_name", "id")
+    tags = rows.selectExpr("catalog_name", "schema_name", "table_name", "inline(array(struct('tittel' as tag_name, 'T' as tag_value), struct('tittel' as tag_name, 'U' as tag_value), struct('eier' as tag_name, cast(id as string) as tag_value)))")
+    column_tags = rows.selectExpr("catalog_name", "schema_name", "table_name", "'geom' as column_name", "inline(array(struct('epsg' as tag_name, '1' as tag_value), struct('epsg' as tag_name, '2' as tag_value)))")
+    tables = rows.selectExpr("catalog_name as table_catalog", "schema_name as table_schema", "table_name", "cast(null as string) as comment")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = g.table_metadata(Catalog(tags, tables, None, column_tags), with_columns=True)
+        plan = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+        assert len(plan) == 3 and all("REPARTITION_BY_NUM" in line for line in plan), plan
+        got = out.select("table", "tittel", F.expr("optional_params['eier']").alias("eier"), F.expr("column_properties['geom'].epsg").alias("epsg")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got)) == sorted((f"t{k}", "U", str(k), "2") for k in range(3000))
+
+
+def test_parts_grow_with_the_relations(spark):
+    """They stay few enough to be dealt out without holding rows; an estimate that is none counts for nothing."""
+    parts = lambda n: g._parts(spark.range(n))  # noqa: E731  8 bytes a row
+    assert parts(10) == spark.sparkContext.defaultParallelism and parts(10 * g.PART_BYTES) == 80 and parts(10**10) == g.MOST_PARTS
+    assert g._parts(spark.createDataFrame([(1,)], "a int"), None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
