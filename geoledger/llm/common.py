@@ -14,6 +14,8 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoledger.spread import spread
+
 #: Rows of an Arrow batch that are worked on together; bounds a Python worker's memory.
 SLICE_ROWS = 256
 #: Text of one slice, in characters; a longer document makes a slice of its own.
@@ -37,19 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it comes from fewer files than there are cores and is small for them.
-
-    A file may be a single row group, which is one task whatever its splits; larger inputs have enough of them.
-    """
-    spark = df.sparkSession
-    cores, split = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * split or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

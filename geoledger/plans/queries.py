@@ -6,7 +6,9 @@ answer from that arithmetic and doesn't repeat the parsing.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -19,6 +21,7 @@ from geoledger.plans.sql_text import Delivery
 from geoledger.sources.catalog import Catalog
 from geoledger.sources.codelists import Codelists, lookup
 from geoledger.sources.geotiff import write
+from geoledger.spread import spread
 
 BASES = [*range(25), 102, 1025, 26, 99]
 
@@ -105,8 +108,8 @@ def _curve(key: int) -> bytes:
     return [half, group(9, half, line(2, 2 * r, 0, 3 * r, 5)), full, group(12, full), group(11, line(2, 0, 0, r, 1), half)][key % 5]
 
 
-def _vertices(data: bytes, at: int = 0) -> tuple[list[tuple[float, float]], int]:
-    """All vertices of a little-endian linear geometry in order, and where it ends."""
+def _vertices(data: bytes, at: int = 0) -> tuple[list[np.ndarray], int]:
+    """All vertices of a little-endian linear geometry in order, as (n, 2) for each of its lines, and where it ends."""
     import struct
 
     _, kind, n = struct.unpack_from("<BII", data, at)
@@ -114,27 +117,34 @@ def _vertices(data: bytes, at: int = 0) -> tuple[list[tuple[float, float]], int]
     for _ in range(1 if kind == 2 else n):
         if kind in (2, 3):
             size, at = (n, at) if kind == 2 else (struct.unpack_from("<I", data, at)[0], at + 4)
-            flat = struct.unpack_from(f"<{2 * size}d", data, at)
-            part, at = list(zip(flat[::2], flat[1::2])), at + 16 * size
+            out.append(np.frombuffer(data, "<f8", 2 * size, at).reshape(size, 2))
+            at += 16 * size
         else:
             part, at = _vertices(data, at)
-        out += part
+            out += part
     return out, at
 
 
 def _points(lines: str) -> Column:
     """Array of (n, x, y) of a column's vertices."""
 
-    def each(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else [(k, x, y) for k, (x, y) in enumerate(_vertices(v)[0])] for v in values], dtype=object)
+    def each(values: pa.Array) -> pa.Array:
+        found = [[] if v is None else _vertices(v)[0] for v in values.to_pylist()]
+        counts = np.array([sum(map(len, f)) for f in found], np.int64)
+        starts = np.concatenate(([0], np.cumsum(counts)))
+        xy = np.concatenate([np.zeros((0, 2)), *(part for f in found for part in f)])
+        n = np.arange(len(xy)) - np.repeat(starts[:-1], counts)
+        points = pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["n", "x", "y"])
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), points, mask=values.is_null())
 
-    return F.pandas_udf(each, "array<struct<n: int, x: double, y: double>>")(lines)
+    return F.arrow_udf(each, "array<struct<n: int, x: double, y: double>>")(lines)
 
 
 def curve_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circular strings, compound curves, curve polygons, multi-surfaces and multi-curves: the type and all vertices of what they become."""
-    curve = F.pandas_udf(lambda key: pd.Series([_curve(k) for k in key], dtype=object), BinaryType())
-    made = table(spark, sf_dir, "customer").select("c_custkey", curve("c_custkey").alias("wkb"))
+    shapes = F.array(*(F.lit(_curve(k)) for k in range(10)))  # a curve is told by the last digit of its key
+    keys = spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    made = keys.withColumn("wkb", F.element_at(shapes, F.expr("cast(c_custkey % 10 as int) + 1")))
     step = F.expr("element_at(array(45D, 30D, 10D, 0D), cast(c_custkey % 4 as int) + 1)")
     linear = curves.linearized(made, "wkb", step)
     points = linear.select("c_custkey", wkb.geometry_type("linear").alias("geom_type"), F.inline(_points("linear")))
@@ -152,8 +162,6 @@ def contours_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ramps as raster files: the type of what they become, and every vertex."""
 
     def raster(key: pd.Series) -> pd.Series:
-        import numpy as np
-
         return pd.Series([write(np.tile(k + 0.5 + 3.0 * np.arange(5), (4, 1))) for k in key], dtype=object)
 
     tiles = table(spark, sf_dir, "nation").select("n_nationkey", F.pandas_udf(raster, BinaryType())("n_nationkey").alias("tile"))

@@ -38,6 +38,14 @@ def test_query_equals_its_sql(spark, db, name):
     assert ours == theirs and ours
 
 
+def test_curves_of_one_file_are_many_tasks(spark):
+    """Python stages would be one task else, whatever the number of cores."""
+    from pyspark.sql import functions as F
+
+    parts = entry.queries()["curve_linearize"](spark, SF).select(F.spark_partition_id().alias("part")).distinct()
+    assert parts.count() == spark.sparkContext.defaultParallelism
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
